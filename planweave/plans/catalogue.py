@@ -1,8 +1,30 @@
 """Registered queries of the core."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Flat rows of nested entities, conditions, windows and corners, linked to their record and parent."""
+    from planweave.operators.nested import entity_tables, plan_tables
+
+    return entity_tables(_read(spark, d, "clauses")).unionByName(plan_tables(_read(spark, d, "plan_exports")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lengths and areas of clauses and findings in whole mm and mm²."""
+    from planweave.operators.quantities import clause_quantities, finding_quantities
+
+    return clause_quantities(_read(spark, d, "clauses")).unionByName(finding_quantities(_read(spark, d, "findings")))
+
 
 def queries() -> dict:
-    return {}
+    return {"p3_found": p3_found, "p5_found": p5_found}
 
 
 def oracle_sql() -> dict[str, str]:
