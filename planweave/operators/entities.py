@@ -9,31 +9,30 @@ from pyspark.sql import functions as F
 MEMBERS = ["subject", "relation", "object", "property", "comparator", "value", "unit", "condition", "conditions"]
 
 
-def unquoted(text: Column) -> Column:
-    """JSON text that is a string, as the text it holds; other JSON as it is."""
-    t = F.trim(text)
-    return F.when(t.startswith('"'), F.trim(F.get_json_object(F.concat(F.lit('{"a":'), t, F.lit("}")), "$.a"))).otherwise(t)
-
-
 def json_list(text: Column) -> Column:
     """JSON text of an array as its members' texts, of an object as that one; null otherwise."""
     return F.when(text.startswith("["), F.from_json(text, "array<string>")).when(text.startswith("{"), F.array(text))
 
 
-def complete(text: Column) -> Column:
-    """Whether the text is complete JSON."""
-    return F.try_parse_json(text).isNotNull()
+def with_json_text(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df with the JSON text of a column: trimmed, taken out of the strings that hold it (twice at most), null if cut off.
+
+    Each step is a column of its own, so that nothing is parsed twice.
+    """
+    df = df.withColumn(name, F.trim(F.col(column)))
+    for _ in range(2):
+        df = df.withColumn(name, F.when(F.col(name).startswith('"'), F.trim(F.get_json_object(F.concat(F.lit('{"a":'), F.col(name), F.lit("}")), "$.a"))).otherwise(F.col(name)))
+    return df.withColumn(name, F.when(F.try_parse_json(name).isNotNull(), F.col(name)))
 
 
-def entity_texts(col: Column) -> Column:
-    """array<string>: the JSON text of each member of an entity container, places kept; null if it is cut off or holds none."""
-    t = unquoted(F.when(complete(col), col))
-    t = unquoted(F.when(complete(t), t))
-    t = F.when(complete(t), t)
-    members = F.from_json(t, "map<string,string>")
-    inner = F.element_at(F.map_values(members), 1)
-    wrapped = t.startswith("{") & (F.size(members) == 1) & ~F.arrays_overlap(F.map_keys(members), F.array(*map(F.lit, MEMBERS))) & inner.rlike(r"^[\[{]")
-    return json_list(F.when(wrapped, inner).otherwise(t))
+def with_entity_texts(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df with array<string>: the JSON text of each member of an entity container, places kept; null if it is cut off or holds none."""
+    df = with_json_text(df, column, name)
+    df = df.withColumn("_members", F.when(F.col(name).startswith("{"), F.from_json(F.col(name), "map<string,string>")))
+    inner = F.element_at(F.map_values("_members"), 1)
+    wrapped = (F.size("_members") == 1) & ~F.arrays_overlap(F.map_keys("_members"), F.array(*map(F.lit, MEMBERS))) & inner.rlike(r"^[\[{]")
+    df = df.withColumn(name, F.when(wrapped, inner).otherwise(F.col(name))).drop("_members")
+    return df.withColumn(name, json_list(F.col(name)))
 
 
 def entities(clauses: DataFrame, id_col: str = "clause_id", column: str = "entities") -> DataFrame:
@@ -41,7 +40,6 @@ def entities(clauses: DataFrame, id_col: str = "clause_id", column: str = "entit
 
     Null, cut-off and scalar containers have no rows; members that are null have a null text and keep their place.
     """
-    texts = entity_texts(F.col(column))
-    base = clauses.select(F.col(id_col), texts.alias("texts")).where("texts is not null")
+    base = with_entity_texts(clauses.select(F.col(id_col), F.col(column).alias("_e")), "_e", "texts").where("texts is not null")
     objects = F.size(F.filter("texts", lambda x: x.startswith("{")))
     return base.select(F.col(id_col), objects.alias("n_objects"), F.posexplode("texts").alias("pos", "entity")).withColumn("is_object", F.coalesce(F.col("entity").startswith("{"), F.lit(False)))

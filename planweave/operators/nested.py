@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planweave.operators.entities import complete, entity_texts, json_list
+from planweave.operators.entities import json_list, with_entity_texts, with_json_text
 
 SCHEMA = "kind string, rec_id long, parent_key string, child_key string"
 
@@ -46,15 +46,18 @@ def _text(places: np.ndarray) -> pa.Array:
 
 def entity_tables(clauses: DataFrame, id_col: str = "clause_id", column: str = "entities") -> DataFrame:
     """Rows of kind entity and condition: each JSON object among the entities, each object among their conditions."""
+    base = clauses.select(F.col(id_col).cast("long").alias("rec_id"), F.col(column).alias("_e")).where("rec_id is not null and _e is not null")
+    base = with_entity_texts(base, "_e", "texts").where("texts is not null")
     member = F.transform(
-        entity_texts(F.col(column)),
+        F.col("texts"),
         lambda e: F.struct(
             F.coalesce(e.startswith("{"), F.lit(False)).alias("object"),
             F.when(e.startswith("{"), F.from_json(e, "condition string, conditions string")).alias("c"),
         ),
     )
+    base = base.select("rec_id", member.alias("parsed"))
     flags = F.transform(
-        member,
+        F.col("parsed"),
         lambda m: F.struct(
             m["object"].alias("object"),
             F.transform(F.coalesce(json_list(m["c"]["condition"]), json_list(m["c"]["conditions"])), lambda x: F.coalesce(x.startswith("{"), F.lit(False))).alias("conditions"),
@@ -76,7 +79,7 @@ def entity_tables(clauses: DataFrame, id_col: str = "clause_id", column: str = "
             own = owner[at]
             yield _distinct("condition", rec.take(pa.array(parent[own])), _text(place[own]), _text(cplace[at]))
 
-    return clauses.select(F.col(id_col).cast("long").alias("rec_id"), flags.alias("members")).where("rec_id is not null and members is not null").mapInArrow(over, SCHEMA)
+    return base.select("rec_id", flags.alias("members")).mapInArrow(over, SCHEMA)
 
 
 def _listed(text: Column, schema: str) -> Column:
@@ -85,11 +88,15 @@ def _listed(text: Column, schema: str) -> Column:
     return F.from_json(F.when(t.startswith("{"), F.concat(F.lit("["), t, F.lit("]"))).when(t.startswith("["), t), schema)
 
 
-def _points(text: Column) -> Column:
-    """Corners of a polygon: [[x, y], ...], [{x, y}, ...] or either under "points"."""
+def _corner_text(text: Column) -> Column:
+    """JSON text of a polygon's corners: the polygon itself or what it has under "points"."""
     t = F.trim(text)
-    t = F.when(t.startswith("{"), F.get_json_object(t, "$.points")).otherwise(t)
-    named = F.transform(F.from_json(t, "array<struct<x:double,y:double>>"), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    return F.when(t.startswith("{"), F.get_json_object(t, "$.points")).otherwise(t)
+
+
+def _points(t: Column) -> Column:
+    """Corners of the text of [[x, y], ...] or [{x, y}, ...]."""
+    named = F.from_json(t, "array<struct<x:double,y:double>>")
     pairs = F.transform(F.from_json(t, "array<array<double>>"), lambda p: F.struct(F.get(p, 0).alias("x"), F.get(p, 1).alias("y")))
     return F.when(t.rlike(r"^\[\s*\{"), named).otherwise(pairs)
 
@@ -105,8 +112,8 @@ _LAYOUTS = (
 
 def plan_elements(exports: DataFrame, id_col: str = "export_id", column: str = "payload") -> DataFrame:
     """(rec_id, parents): per complete document, its rooms, slabs and stairs with corners and window keys, whatever its layout."""
-    doc = exports.select(F.col(id_col).cast("long").alias("rec_id"), F.when(complete(F.col(column)), F.col(column)).alias("payload")).where("payload is not null and rec_id is not null")
-    doc = doc.select("rec_id", F.from_json("payload", _LAYOUTS).alias("d"))
+    doc = exports.select(F.col(id_col).cast("long").alias("rec_id"), F.col(column).alias("_p")).where("_p is not null and rec_id is not null")
+    doc = with_json_text(doc, "_p", "payload").where("payload is not null").select("rec_id", F.from_json("payload", _LAYOUTS).alias("d"))
 
     def rooms(text):
         return F.transform(_listed(text, _ROOM), lambda r: F.struct(r["id"].alias("key"), r["polygon"].alias("polygon"), r["windows"].alias("windows")))
@@ -127,7 +134,10 @@ def plan_elements(exports: DataFrame, id_col: str = "export_id", column: str = "
     )
     lists = [rooms(F.col("d.bim_data.rooms")), parts(F.col("d.bim_data.slabs")), parts(F.col("d.bim_data.stairs")), rooms(F.col("d.rooms")), parts(F.col("d.slabs")), parts(F.col("d.stairs")), nodes, parts(F.col("d.ifc.slabs")), parts(F.col("d.ifc.stairs")), storeys]
     all_ = F.concat(*[F.coalesce(x, none) for x in lists])
-    typed = F.transform(all_, lambda p: F.struct(p["key"].alias("key"), _points(p["polygon"]).alias("points"), F.transform(_listed(p["windows"], "array<struct<id:string>>"), lambda w: w["id"]).alias("windows")))
+    doc = doc.select("rec_id", all_.alias("all"))
+    texts = F.transform("all", lambda p: F.struct(p["key"].alias("key"), _corner_text(p["polygon"]).alias("corners"), p["windows"].alias("windows")))
+    doc = doc.select("rec_id", texts.alias("all"))
+    typed = F.transform("all", lambda p: F.struct(p["key"].alias("key"), _points(p["corners"]).alias("points"), F.transform(_listed(p["windows"], "array<struct<id:string>>"), lambda w: w["id"]).alias("windows")))
     return doc.select("rec_id", typed.alias("parents"))
 
 

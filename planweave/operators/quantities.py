@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planweave.functions.units import AREA, LENGTH, OTHER, folded, folded_digits, parse_unit, unit_at
-from planweave.operators.entities import entity_texts
+from planweave.operators.entities import with_entity_texts
 
 SCHEMA = "src string, rec_id long, pos long, what string, amount long"
 _NUMBER = re.compile(r"(?<![\w.,\-])[-+]?\d+(?:[.,٫]\d+)?(?:e[-+]?\d+)?", re.I)
@@ -87,8 +87,8 @@ def _rows(src: str, rec, pos, what, amount) -> pa.RecordBatch:
 
 def clause_quantities(clauses: DataFrame, id_col: str = "clause_id", column: str = "entities", texts: tuple[str, ...] = ("text_en", "text_fa")) -> DataFrame:
     """Quantities of the entities of clauses; the clause texts tell the unit of an entity that is alone."""
-    members = entity_texts(F.col(column))
-    base = clauses.select(F.col(id_col).cast("long").alias("rec_id"), members.alias("m"), *[F.col(c).alias(f"t{k}") for k, c in enumerate(texts)]).where("m is not null and rec_id is not null")
+    base = clauses.select(F.col(id_col).cast("long").alias("rec_id"), F.col(column).alias("_e"), *[F.col(c).alias(f"t{k}") for k, c in enumerate(texts)]).where("_e is not null and rec_id is not null")
+    base = with_entity_texts(base, "_e", "m").where("m is not null")
     alone = F.size(F.filter("m", lambda x: x.startswith("{"))) == 1
     rows = base.select("rec_id", *[F.when(alone, F.col(f"t{k}")).alias(f"t{k}") for k in range(len(texts))], F.posexplode("m").alias("pos", "e")).where("e like '{%'")
     typed = rows.select("rec_id", "pos", F.from_json("e", "value string, unit string, property string").alias("v"), F.get_json_object("e", "$.value").alias("raw"), *[f"t{k}" for k in range(len(texts))])
