@@ -36,20 +36,22 @@ from planweave.llm.consistent import _M1, consistent_points, mix, runs, word_has
 BINS = 1 << 20
 TINY = 8
 SALT_ROWS = 100_000
+NEAR = 12
+SIG_MASK = (1 << 24) - 1
 
 
 # ------------------------------------------------------------------ elements
 
 
 def _unique_rows(values: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct values within each row."""
+    """Distinct values within each row, in order of first occurrence."""
     n = len(off) - 1
     row = np.repeat(np.arange(n), np.diff(off))
-    order = np.argsort(values, kind="stable")
-    order = order[np.argsort(row[order], kind="stable")]
-    values, row = values[order], row[order]
+    key = values.astype(np.uint64) | (row.astype(np.uint64) << np.uint64(32))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
     keep = np.ones(len(values), bool)
-    keep[1:] = (values[1:] != values[:-1]) | (row[1:] != row[:-1])
+    keep[order[1:][key[1:] == key[:-1]]] = False
     return values[keep], np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=n))])
 
 
@@ -109,26 +111,27 @@ def element_batches(run: int):
 _ELEMENTS = "field int, id long, h1 long, h2 long, n int, elements binary"
 
 
-def _with_representative(batches):
-    """Rows sorted by (field, h1, h2, carriers first by id): each gets the id of its class; streams over any number of copies."""
-    last, rep = None, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        f, i, a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-        new = np.ones(len(f), bool)
-        new[1:] = (f[1:] != f[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        new[0] = last != (f[0], a[0], b[0])
-        at = np.maximum.accumulate(np.where(new, np.arange(len(f)), -1))
-        reps = np.where(at >= 0, i[np.maximum(at, 0)], rep if rep is not None else 0)
-        last, rep = (f[-1], a[-1], b[-1]), reps[-1]
-        flat, off = _read_blobs(batch.column(5), np.uint32)
-        n = np.diff(off)
-        off2 = np.concatenate([[0], np.cumsum(np.where(new, n, 0))])
-        yield pa.record_batch(
-            [batch.column(0), batch.column(1), pa.array(reps.astype(np.int64)), pa.array(new), batch.column(4), _blob_array(flat[np.repeat(new, n)], off2).cast(pa.binary())],
-            names=["field", "id", "rep", "is_rep", "n", "elements"],
-        )
+def _bit_table(df: DataFrame, key: str) -> np.ndarray:
+    """A filter of 4 million bits over the values of a column; its size is fixed, a value that is in it is always found."""
+    mixed = F.pmod(F.xxhash64(key), F.lit(1 << 22))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(mixed, F.lit(64)).cast("int"))
+    got = df.groupBy(F.shiftright(mixed, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    table = np.zeros(1 << 16, np.int64)
+    table[got["word"].to_numpy().astype(np.int64)] = got["bits"].to_numpy()
+    return table
+
+
+def _sifted(df: DataFrame, key: str, shipped, inside: bool) -> DataFrame:
+    """Rows whose key may be in the filter, or rows whose key is surely not in it."""
+
+    def over(batches):
+        for b in batches:
+            k = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
+            hit = ((shipped.value[k >> 6] >> (k & 63)) & 1).astype(bool)
+            yield b.filter(pa.array(hit if inside else ~hit))
+
+    with_key = df.withColumn("k", F.pmod(F.xxhash64(key), F.lit(1 << 22)))
+    return with_key.mapInArrow(over, with_key.schema).drop("k")
 
 
 # ------------------------------------------------------------------ allocation
@@ -219,7 +222,11 @@ def probes(plan: Plan, el: np.ndarray, off: np.ndarray, n: np.ndarray):
     same[:-1] = key[1:] == key[:-1]
     pair = np.flatnonzero(same & (place % 2 == 0))
     odd = np.flatnonzero(~same & (place % 2 == 0) & (place >= 2))
-    cost = df[pair] * df[np.minimum(pair + 1, len(df) - 1)] / plan.total + 0.05 * np.minimum(df[pair], df[np.minimum(pair + 1, len(df) - 1)])
+    after = np.minimum(pair + 1, max(0, len(df) - 1))
+    # Elements that stand close together come together in other texts too.
+    at = big[order] - off[r]
+    near = np.abs(at[pair] - at[after]) <= NEAR
+    cost = np.where(near, np.minimum(df[pair], df[after]), df[pair] * df[after] / plan.total)
     cost3 = df[odd] if len(odd) else np.zeros(0)
     # Units: (row, class of cost, cost, one or two subsets).
     u_row = np.concatenate([r[pair], r[odd], row[single]])
@@ -285,7 +292,7 @@ def index(plan: Plan, el: np.ndarray, off: np.ndarray, n: np.ndarray):
 
 
 def _packed(plan: Plan, rows, hashes, least, ids, n, hits, role: int, salt_all: bool):
-    """Bucketed blobs of subset rows: 32 bits of hash each, grouped by text."""
+    """Bucketed blobs of subset rows: 24 bits of hash each besides the bucket, grouped by text; chance hits fall to the count and to verification."""
     salts = np.ceil(least / SALT_ROWS).astype(np.int64)
     salts = np.maximum(salts, 1)
     if salt_all:
@@ -304,9 +311,33 @@ def _packed(plan: Plan, rows, hashes, least, ids, n, hits, role: int, salt_all:
         r = rows[a:b]
         first = np.concatenate([[0], np.flatnonzero(np.diff(r)) + 1])
         who = r[first]
-        head = np.array([role, len(who), b - a], np.int64).tobytes()
-        counts = np.diff(np.concatenate([first, [b - a]])).astype(np.int32)
-        yield int(bucket[a]), head + ids[who].astype(np.int64).tobytes() + n[who].astype(np.int32).tobytes() + counts.tobytes() + hits[who].astype(np.int32).tobytes() + sig[a:b].tobytes()
+        counts = np.diff(np.concatenate([first, [b - a]]))
+        yield int(bucket[a]), pack(np.array([role]), ids[who], n[who], counts, hits[who] if role == 0 else hits[:0], sig[a:b] & np.uint32(SIG_MASK))
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Integer arrays in as few bytes as their span allows, one after the other."""
+    out = []
+    for x in arrays:
+        x = np.asarray(x).astype(np.int64)
+        low = int(x.min()) if len(x) else 0
+        span = (int(x.max()) - low).bit_length() if len(x) else 0
+        width = (span + 7) // 8
+        raw = (x - low).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+        out += [np.array([len(x), low, width], np.int64).tobytes(), np.ascontiguousarray(raw.T).tobytes()]
+    return b"".join(out)
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(blob):
+        n, low, width = (int(v) for v in np.frombuffer(blob, np.int64, 3, at))
+        at += 24
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(blob, np.uint8, n * width, at).reshape(width, n).T
+        out.append(wide.view("<u8").ravel().astype(np.int64) + low)
+        at += n * width
+    return out
 
 
 def _merged(batches, rows: int = 16384):
@@ -410,17 +441,12 @@ def match_batches(t: float, parts: int, block: int = 2_000_000):
     def bucket_pairs(blobs):
         got = {0: [], 1: []}
         for blob in blobs:
-            role, who, m = np.frombuffer(blob, np.int64, 3)
-            at = 24
-            ids = np.frombuffer(blob, np.int64, who, at)
-            n = np.frombuffer(blob, np.int32, who, at := at + 8 * who)
-            counts = np.frombuffer(blob, np.int32, who, at := at + 4 * who)
-            hits = np.frombuffer(blob, np.int32, who, at := at + 4 * who)
-            sig = np.frombuffer(blob, np.uint32, m, at + 4 * who)
-            got[int(role)].append((ids, n, counts, hits, sig))
+            (role,), *arrays = unpack(blob)
+            got[int(role)].append(arrays)
         if not got[0] or not got[1]:
             return
         (xi, xn, xc, xh, xs), (yi, yn, yc, _, ys) = ([np.concatenate([g[k] for g in got[role]]) for k in range(5)] for role in (0, 1))
+        xs, ys = xs.astype(np.uint32), ys.astype(np.uint32)
         xr, yr = np.repeat(np.arange(len(xi)), xc), np.repeat(np.arange(len(yi)), yc)
         o = np.argsort(ys, kind="stable")
         ys, yr = ys[o], yr[o]
@@ -453,7 +479,7 @@ def match_batches(t: float, parts: int, block: int = 2_000_000):
                 yield pa.record_batch(
                     [
                         pa.array(part[cut[:-1]].astype(np.int32)),
-                        pa.array([np.stack([xid[p:q], yid[p:q], need[p:q]], 1).astype(np.int64).tobytes() for p, q in zip(cut[:-1], cut[1:])], pa.binary()),
+                        pa.array([pair_blob(xid[p:q], yid[p:q], need[p:q]) for p, q in zip(cut[:-1], cut[1:])], pa.binary()),
                     ],
                     names=["part", "blob"],
                 )
@@ -462,18 +488,34 @@ def match_batches(t: float, parts: int, block: int = 2_000_000):
     return over
 
 
+def pair_blob(x: np.ndarray, y: np.ndarray, need: np.ndarray) -> bytes:
+    """Pairs ordered by (x, y), each once with its hits."""
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    at = np.flatnonzero(new)
+    hits = np.diff(np.concatenate([at, [len(x)]]))
+    x, y, need = x[at], y[at], need[at]
+    first = np.concatenate([[0], np.flatnonzero(np.diff(x)) + 1])
+    return pack(np.diff(x[first], prepend=0), np.diff(np.concatenate([first, [len(x)]])), need[first], y, hits)
+
+
+def pairs_of(blob: bytes) -> np.ndarray:
+    dx, runs_, need, y, hits = unpack(blob)
+    return np.stack([np.repeat(np.cumsum(dx), runs_), y, np.repeat(need, runs_), hits], 1)
+
+
 def counted_batches(batches):
     """Candidates of whole parts to pairs with enough hits."""
     waiting, current = [], None
 
     def flush():
-        rows = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 3) for b in waiting])
+        rows = np.concatenate([pairs_of(b) for b in waiting])
         o = np.lexsort((rows[:, 1], rows[:, 0]))
         rows = rows[o]
         new = np.ones(len(rows), bool)
         new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(1)
         at = np.flatnonzero(new)
-        count = np.diff(np.concatenate([at, [len(rows)]]))
+        count = np.add.reduceat(rows[:, 3], at)
         # The fallback has its own need of one hit: the least need counts.
         need = np.minimum.reduceat(rows[:, 2], at)
         keep = at[count >= need]
@@ -535,15 +577,20 @@ def near_duplicates(df: DataFrame, id_col: str, text_cols: list[str], threshold:
     parts = partitions(spark)
     texts = F.array(*[F.struct(F.lit(k).alias("field"), F.col(c).alias("text")) for k, c in enumerate(text_cols)])
     long = df.select(F.col(id_col).cast("long").alias("id"), F.explode(texts).alias("t")).select("t.field", "id", "t.text").where("text is not null and id is not null")
-    elements = long.mapInArrow(element_batches(run), _ELEMENTS)
-    sorted_ = elements.repartition(parts, "field", "h1", "h2").sortWithinPartitions("field", "h1", "h2", F.length("elements").desc(), "id")
-    rows = stored(sorted_.mapInArrow(_with_representative, "field int, id long, rep long, is_rep boolean, n int, elements binary"), "elements")
-    sets = rows.where("is_rep and n > 0").select("field", "id", "n", "elements")
+    rows = stored(long.mapInArrow(element_batches(run), _ELEMENTS), "elements")
+    # The class of equal texts is its least id among the carriers of elements; only ids and digests are shuffled for that.
+    carrier = F.when(F.octet_length("elements") > 0, F.col("id"))
+    reps = rows.groupBy("field", "h1", "h2").agg(F.coalesce(F.min(carrier), F.min("id")).alias("rep"))
+    classes = stored(rows.select("field", "id", "h1", "h2").join(reps, ["field", "h1", "h2"]).select("field", "id", "rep"), "classes")
+    # Carriers that are surely no copies are sets at once; the others are checked by a join.
+    copies = spark.sparkContext.broadcast(_bit_table(classes.where("id <> rep"), "id"))
+    carriers = rows.where("octet_length(elements) > 0").select("field", "id", "n", "elements")
+    unsure = _sifted(carriers, "id", copies, True).join(classes.where("id = rep").select("field", "id"), ["field", "id"])
+    sets = _sifted(carriers, "id", copies, False).unionByName(unsure.select("field", "id", "n", "elements"))
 
     sizes: dict[int, int] = {}
     for r in sets.groupBy(F.when(F.col("n") < 4096, F.col("n")).otherwise(F.floor(F.exp(F.floor(F.log("n") * 64) / 64)).cast("int")).alias("n")).count().collect():
         sizes[r["n"]] = sizes.get(r["n"], 0) + r["count"]
-    classes = rows.select("field", "id", "rep")
     if not sizes:
         return classes, spark.createDataFrame([], "field int, rep_a long, rep_b long, similarity double")
     counts = sets.mapInArrow(_bins_of, "word int, bit int, count long").groupBy("word", "bit").agg(F.sum("count").alias("count"))
@@ -570,22 +617,9 @@ def near_duplicates(df: DataFrame, id_col: str, text_cols: list[str], threshold:
         needed[bins] = True
         pairs = pairs.unionByName(candidates(spark.sparkContext.broadcast(needed))).distinct()
     pairs = stored(pairs, "candidates")
-    # A fixed 4-million-bit filter of the ids met keeps most elements out of the verifying joins.
-    ends = pairs.select(F.explode(F.array("x", "y")).alias("id"))
-    mixed = F.pmod(F.xxhash64("id"), F.lit(1 << 22))
-    bits = ends.groupBy(F.shiftright(mixed, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(mixed, F.lit(64)).cast("int"))).alias("bits"))
-    table = np.zeros(1 << 16, np.int64)
-    got = bits.toArrow()
-    table[got["word"].to_numpy().astype(np.int64)] = got["bits"].to_numpy()
-    met = spark.sparkContext.broadcast(table)
-
-    def only_met(batches):
-        for b in batches:
-            k = b.column(4).to_numpy(zero_copy_only=False)
-            keep = (met.value[k >> 6] >> (k & 63)) & 1
-            yield b.filter(pa.array(keep.astype(bool)))
-
-    small = sets.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(1 << 22))).mapInArrow(only_met, "field int, id long, n int, elements binary, k long").select("field", "id", "elements")
+    # A filter of the ids met keeps most elements out of the verifying joins.
+    met = spark.sparkContext.broadcast(_bit_table(pairs.select(F.explode(F.array("x", "y")).alias("id")), "id"))
+    small = _sifted(carriers.drop("n"), "id", met, True)
     x = small.select("field", F.col("id").alias("x"), F.col("elements").alias("ex"))
     y = small.select("field", F.col("id").alias("y"), F.col("elements").alias("ey"))
     joined = pairs.join(x, ["field", "x"]).join(y, ["field", "y"]).select("field", "x", "y", "ex", "ey")

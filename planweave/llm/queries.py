@@ -20,6 +20,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(name.alias("field"), F.col("a").alias("clause_a"), F.col("b").alias("clause_b"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """The reference entry each freely typed subject, object and relation means, or 0."""
+    from planweave.llm.canon import canonical_entities
+
+    return canonical_entities(_read(spark, d, "clauses"), _read(spark, d, "canon_terms"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Clause rows whose texts look the same but are stored differently."""
     from planweave.llm.lookalike import same_look
