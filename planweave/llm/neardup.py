@@ -8,9 +8,12 @@ two-element subset of each of its segments; x probes disjoint subsets: two by
 two within a segment and, for an odd rest, the one-deletion neighbourhood of a
 triple (its three pairs break only when two elements are lost).  Allocation is
 by cost: x takes the subsets expected to be rarest, from element counts over
-all texts.  It takes ``extra`` more than needed, so that a partner must hit
-``extra + 1`` times, which drops most chance hits before verification.
-Sets too small or too unlucky for enough pairs probe single elements.
+all texts, a rare element with a frequent one.  It may take ``extra`` more than
+needed; a partner must then hit ``extra + 1`` times.  Each text carries 128
+parity bits of its elements: sets cannot differ in fewer elements than their
+bits do, which drops nearly all chance hits where they meet, before
+verification.  Sets too small or too unlucky for enough pairs probe single
+elements.
 
 Texts equal in their consistent form are collapsed first, so a hot group of
 copies is one row in everything that follows.  Subset rows travel as packed
@@ -36,7 +39,9 @@ from planweave.llm.consistent import _M1, consistent_points, mix, runs, word_has
 BINS = 1 << 20
 TINY = 8
 SALT_ROWS = 100_000
-NEAR = 12
+NEAR = 6
+#: Subset rows of a bucket, which one task holds packed.
+BUCKET_ROWS = 3_000_000
 SIG_MASK = (1 << 24) - 1
 
 
@@ -171,7 +176,7 @@ def bands(sizes: dict[int, int], t: float) -> tuple[list[int], list[int]]:
         high = best[k + 1] if k + 1 < len(best) else top + 1
         inside = (s >= low) & (s < high)
         mean = float((s[inside] * c[inside]).sum() / max(1.0, c[inside].sum())) if inside.any() else low
-        segments.append(max(1, round(mean * 0.5)))
+        segments.append(max(1, round(mean * 0.35)))
     return best, segments
 
 
@@ -193,17 +198,22 @@ def _subset_hash(a: np.ndarray, b: np.ndarray, band: np.ndarray) -> np.ndarray:
         return mix(mix(a.astype(np.uint64) + _M1) + mix(b.astype(np.uint64) + _M1) + band.astype(np.uint64) * _M1)
 
 
-def _segmented(plan: Plan, el: np.ndarray, row: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Elements ordered by (row, segment, expected count): order, group key, place in the group, expected counts."""
-    df = plan.df(el)
-    seg = (mix(el.astype(np.uint64)) % plan.segments[band].astype(np.uint64)).astype(np.int64)
-    key = row * int(plan.segments.max()) + seg
-    order = np.lexsort((el, df, key))
-    key = key[order]
-    first = np.ones(len(key), bool)
-    first[1:] = key[1:] != key[:-1]
-    place = np.arange(len(key)) - np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
-    return order, key, place, df[order]
+def _segmented(plan: Plan, el: np.ndarray, row: np.ndarray, band: np.ndarray):
+    """Elements ordered by (row, segment, expected count): order, place in the segment's group, size of the group, expected counts."""
+    seg = (mix(el.astype(np.uint64)) % plan.segments[band].astype(np.uint64)).astype(np.uint64)
+    log = plan.log_df[el & np.uint32(BINS - 1)]
+    bits = max(1, int(len(el)).bit_length())
+    if bits + 8 + int(plan.segments.max()).bit_length() + int(row.max() if len(row) else 0).bit_length() > 64:
+        raise ValueError("a batch is too large")
+    # One sort of packed numbers: row, segment, count, index; equal elements of two rows may come in either order.
+    group = row.astype(np.uint64) * np.uint64(int(plan.segments.max()) + 1) + seg
+    packed = np.sort((group << np.uint64(bits + 8)) | (log.astype(np.uint64) << np.uint64(bits)) | np.arange(len(el), dtype=np.uint64))
+    order = (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
+    key = packed >> np.uint64(bits + 8)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.concatenate([first, [len(key)]]))
+    place = np.arange(len(key)) - np.repeat(first, size)
+    return order, place, np.repeat(size, size), np.exp2(log[order] / 8.0)
 
 
 def probes(plan: Plan, el: np.ndarray, off: np.ndarray, n: np.ndarray):
@@ -216,18 +226,17 @@ def probes(plan: Plan, el: np.ndarray, off: np.ndarray, n: np.ndarray):
     tiny = band == 0
     single = np.flatnonzero(tiny)
     big = np.flatnonzero(~tiny)
-    order, key, place, df = _segmented(plan, el[big], row[big], band[big])
+    order, place, size, df = _segmented(plan, el[big], row[big], band[big])
     e, r, bd = el[big][order], row[big][order], band[big][order]
-    same = np.zeros(len(e), bool)
-    same[:-1] = key[1:] == key[:-1]
-    pair = np.flatnonzero(same & (place % 2 == 0))
-    odd = np.flatnonzero(~same & (place % 2 == 0) & (place >= 2))
-    after = np.minimum(pair + 1, max(0, len(df) - 1))
+    # The rarest goes with the most frequent and so on inwards, so that no pair has two frequent elements.
+    pair = np.flatnonzero(place < size // 2)
+    mate = pair + size[pair] - 1 - 2 * place[pair]
+    odd = np.flatnonzero((size % 2 == 1) & (size >= 3) & (place == size // 2))
     # Elements that stand close together come together in other texts too.
     at = big[order] - off[r]
-    near = np.abs(at[pair] - at[after]) <= NEAR
-    cost = np.where(near, np.minimum(df[pair], df[after]), df[pair] * df[after] / plan.total)
-    cost3 = df[odd] if len(odd) else np.zeros(0)
+    near = np.abs(at[pair] - at[mate]) <= NEAR
+    cost = np.where(near, np.minimum(df[pair], df[mate]), df[pair] * df[mate] / plan.total)
+    cost3 = df[odd]
     # Units: (row, class of cost, cost, one or two subsets).
     u_row = np.concatenate([r[pair], r[odd], row[single]])
     u_class = np.concatenate([np.zeros(len(pair)), np.ones(len(odd)), np.zeros(len(single))])
@@ -237,7 +246,9 @@ def probes(plan: Plan, el: np.ndarray, off: np.ndarray, n: np.ndarray):
     have = np.bincount(u_row, minlength=len(n))
     lacking = (have < need) & (n > 0)
     want = np.where(lacking, 0, need + plan.extra)
-    o = np.lexsort((u_cost, u_class, u_row))
+    # Costs to about 3 per cent, in one packed number with the row.
+    scaled = np.clip(np.log2(np.maximum(u_cost, 1e-6)) * 24 + 500, 0, 2047).astype(np.uint64) + (u_class.astype(np.uint64) << np.uint64(11))
+    o = np.argsort((u_row.astype(np.uint64) << np.uint64(12)) | scaled)
     start = np.concatenate([[0], np.cumsum(have)])[:-1]
     rank = np.empty(len(o), np.int64)
     rank[o] = np.arange(len(o)) - start[u_row[o]]
@@ -245,16 +256,41 @@ def probes(plan: Plan, el: np.ndarray, off: np.ndarray, n: np.ndarray):
     taken = np.bincount(u_row[take], minlength=len(n))
     out = []
     p = u_a[take & (u_kind == 0)]
-    out.append((r[p], _subset_hash(e[p], e[np.minimum(p + 1, len(e) - 1)], bd[p]), np.minimum(df[p], df[np.minimum(p + 1, len(e) - 1)])))
+    m = p + size[p] - 1 - 2 * place[p]
+    out.append((r[p], _subset_hash(e[p], e[m], bd[p]), np.minimum(df[p], df[m])))
     q = u_a[take & (u_kind == 1)]
-    for back in (1, 2):
-        out.append((r[q], _subset_hash(e[q], e[q - back], bd[q]), np.minimum(df[q], df[q - back])))
+    for mate in (q - 1, q + 1):
+        out.append((r[q], _subset_hash(e[q], e[mate], bd[q]), np.minimum(df[q], df[mate])))
     s = u_a[take & (u_kind == 2)]
     out.append((row[s], _single_hash(el[s]), plan.df(el[s])))
     got = [np.concatenate([x[k] for x in out]) for k in range(3)]
     return got[0], got[1], got[2], np.maximum(1, taken - lost(n, plan.t)), lacking
 
 
+def lacks(plan: Plan, el: np.ndarray, off: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether each set has too few disjoint subsets within its segments."""
+    band = np.searchsorted(plan.lows, n, "right") - 1
+    row = np.repeat(np.arange(len(n)), np.diff(off))
+    most = int(plan.segments.max())
+    seg = (mix(el.astype(np.uint64)) % plan.segments[band[row]].astype(np.uint64)).astype(np.int64)
+    count = np.bincount(row * most + seg, minlength=len(n) * most).reshape(len(n), most)
+    have = (count // 2).sum(1) + ((count % 2 == 1) & (count >= 3)).sum(1)
+    return (np.where(band == 0, n, have) < lost(n, plan.t) + 1) & (n > 0)
+
+
+def parities(el: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 parity bits of each set: sets differ in at least as many elements as their bits do."""
+    bit = mix(el.astype(np.uint64) + np.uint64(0x51ED27)) >> np.uint64(57)
+    one = np.uint64(1) << (bit & np.uint64(63))
+    low = bit < 64
+    out = []
+    for half in (low, ~low):
+        x = np.concatenate([np.bitwise_xor.accumulate(np.where(half, one, np.uint64(0))), np.zeros(1, np.uint64)]) if len(el) else np.zeros(1, np.uint64)
+        before = np.concatenate([np.zeros(1, np.uint64), x[:-1]])
+        out.append(before[off[1:]] ^ before[off[:-1]])
+    return out[0], out[1]
+
+
 def _single_hash(el: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mix(el.astype(np.uint64) * _M1 + np.uint64(77))
@@ -276,12 +312,10 @@ def index(plan: Plan, el: np.ndarray, off: np.ndarray, n: np.ndarray):
         ok &= b > a
         here = np.flatnonzero(ok[row] & (band[row] > 0))
         if len(here):
-            order, key, place, df = _segmented(plan, el[here], row[here], band[row][here])
+            order, place, size, df = _segmented(plan, el[here], row[here], band[row][here])
             e, r, bd = el[here][order], row[here][order], band[row][here][order]
             for k in range(1, int(place.max()) + 1 if len(place) else 1):
-                i = np.flatnonzero(key[k:] == key[:-k])
-                if not len(i):
-                    break
+                i = np.flatnonzero(place + k < size)
                 out.append((r[i], _subset_hash(e[i], e[i + k], bd[i]), np.minimum(df[i], df[i + k])))
         here = np.flatnonzero(ok[row] & (band[row] == 0))
         if len(here):
@@ -291,7 +325,7 @@ def index(plan: Plan, el: np.ndarray, off: np.ndarray, n: np.ndarray):
     return tuple(np.concatenate([x[k] for x in out]) for k in range(3))
 
 
-def _packed(plan: Plan, rows, hashes, least, ids, n, hits, role: int, salt_all: bool):
+def _packed(plan: Plan, rows, hashes, least, ids, n, bits, hits, role: int, salt_all: bool):
     """Bucketed blobs of subset rows: 24 bits of hash each besides the bucket, grouped by text; chance hits fall to the count and to verification."""
     salts = np.ceil(least / SALT_ROWS).astype(np.int64)
     salts = np.maximum(salts, 1)
@@ -312,18 +346,19 @@ def _packed(plan: Plan, rows, hashes, least, ids, n, hits, role: int, salt_all:
         first = np.concatenate([[0], np.flatnonzero(np.diff(r)) + 1])
         who = r[first]
         counts = np.diff(np.concatenate([first, [b - a]]))
-        yield int(bucket[a]), pack(np.array([role]), ids[who], n[who], counts, hits[who] if role == 0 else hits[:0], sig[a:b] & np.uint32(SIG_MASK))
+        yield int(bucket[a]), pack(np.array([role]), ids[who], n[who], counts, hits[who] if role == 0 else hits[:0], sig[a:b] & np.uint32(SIG_MASK), *(x[who].view(np.int64) for x in bits))
 
 
 def pack(*arrays: np.ndarray) -> bytes:
     """Integer arrays in as few bytes as their span allows, one after the other."""
     out = []
     for x in arrays:
-        x = np.asarray(x).astype(np.int64)
+        x = np.ascontiguousarray(np.asarray(x).astype(np.int64))
         low = int(x.min()) if len(x) else 0
         span = (int(x.max()) - low).bit_length() if len(x) else 0
         width = (span + 7) // 8
-        raw = (x - low).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+        with np.errstate(over="ignore"):
+            raw = (x.view(np.uint64) - np.uint64(low & 0xFFFFFFFFFFFFFFFF)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
         out += [np.array([len(x), low, width], np.int64).tobytes(), np.ascontiguousarray(raw.T).tobytes()]
     return b"".join(out)
 
@@ -335,7 +370,8 @@ def unpack(blob: bytes) -> list[np.ndarray]:
         at += 24
         wide = np.zeros((n, 8), np.uint8)
         wide[:, :width] = np.frombuffer(blob, np.uint8, n * width, at).reshape(width, n).T
-        out.append(wide.view("<u8").ravel().astype(np.int64) + low)
+        with np.errstate(over="ignore"):
+            out.append((wide.view("<u8").ravel() + np.uint64(low & 0xFFFFFFFFFFFFFFFF)).view(np.int64))
         at += n * width
     return out
 
@@ -367,13 +403,14 @@ def signature_batches(shipped, fallback=None):
             # Field and id in one number; elements of the fields differ by hash.
             ids = ids.astype(np.int64) * 2 + field
             none = np.zeros(len(n), np.int64)
+            bits = parities(el, off)
             buckets, blobs = [], []
             if needed is None:
                 r, h, least, hits, _ = probes(plan, el, off, n)
                 jobs = [(r, h, least, hits, 0), (*index(plan, el, off, n), none, 1)]
             else:
                 row = np.repeat(np.arange(len(n)), np.diff(off))
-                *_, lacking = probes(plan, el, off, n)
+                lacking = lacks(plan, el, off, n)
                 df = plan.df(el)
                 o = np.lexsort((df, row))
                 rank = np.empty(len(o), np.int64)
@@ -382,7 +419,7 @@ def signature_batches(shipped, fallback=None):
                 q = np.flatnonzero(needed[el & np.uint32(BINS - 1)])
                 jobs = [(row[p], _single_hash(el[p]), df[p], none + 1, 0), (row[q], _single_hash(el[q]), df[q], none, 1)]
             for r, h, least, hits, role in jobs:
-                for bucket, blob in _packed(plan, r, h, least, ids, n, hits, role, role == 0):
+                for bucket, blob in _packed(plan, r, h, least, ids, n, bits, hits, role, role == 0):
                     buckets.append(bucket)
                     blobs.append(blob)
             yield pa.record_batch([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
@@ -398,7 +435,7 @@ def lacking_bins(shipped):
         for table in _merged(batches):
             n = table.column(2).to_numpy().astype(np.int64)
             el, off = _read_blobs(table.column(3), np.uint32)
-            *_, lacking = probes(plan, el, off, n)
+            lacking = lacks(plan, el, off, n)
             row = np.repeat(np.arange(len(n)), np.diff(off))
             at = np.flatnonzero(lacking[row])
             el, row = el[at], row[at]
@@ -421,7 +458,7 @@ def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
 
 
-def match_batches(t: float, parts: int, block: int = 2_000_000):
+def match_batches(t: float, parts: int, block: int = 500_000):
     """Blobs of whole buckets to packed candidates (part, blob of x, y, hits needed)."""
 
     def over(batches):
@@ -442,12 +479,13 @@ def match_batches(t: float, parts: int, block: int = 2_000_000):
         got = {0: [], 1: []}
         for blob in blobs:
             (role,), *arrays = unpack(blob)
-            got[int(role)].append(arrays)
+            ids, n, counts, hits, sig, p, q = arrays
+            got[int(role)].append((ids, n.astype(np.int32), counts.astype(np.int32), hits.astype(np.int32), sig.astype(np.uint32), p.view(np.uint64), q.view(np.uint64)))
         if not got[0] or not got[1]:
             return
-        (xi, xn, xc, xh, xs), (yi, yn, yc, _, ys) = ([np.concatenate([g[k] for g in got[role]]) for k in range(5)] for role in (0, 1))
-        xs, ys = xs.astype(np.uint32), ys.astype(np.uint32)
-        xr, yr = np.repeat(np.arange(len(xi)), xc), np.repeat(np.arange(len(yi)), yc)
+        (xi, xn, xc, xh, xs, xp, xq), (yi, yn, yc, _, ys, yp, yq) = ([np.concatenate([g[k] for g in got[role]]) for k in range(7)] for role in (0, 1))
+        del got
+        xr, yr = np.repeat(np.arange(len(xi), dtype=np.int32), xc), np.repeat(np.arange(len(yi), dtype=np.int32), yc)
         o = np.argsort(ys, kind="stable")
         ys, yr = ys[o], yr[o]
         o = np.argsort(xs, kind="stable")
@@ -468,6 +506,10 @@ def match_batches(t: float, parts: int, block: int = 2_000_000):
                 keep = (yn[y] > xn[x]) | ((yn[y] == xn[x]) & (yi[y] > xi[x]))
                 keep &= (xn[x] >= yn[y] * t - 1e-9) & ((xi[x] & 1) == (yi[y] & 1))
                 x, y = x[keep], y[keep]
+                both = xn[x] + yn[y]
+                differ = np.bitwise_count(xp[x] ^ yp[y]).astype(np.int32) + np.bitwise_count(xq[x] ^ yq[y])
+                keep = differ <= both - 2 * np.ceil(both * (t / (1 + t)) - 1e-9)
+                x, y = x[keep], y[keep]
                 if not len(x):
                     continue
                 xid, yid, need = xi[x], yi[y], xh[x]
@@ -564,7 +606,7 @@ def _bins_of(batches):
     yield pa.record_batch([pa.array((at >> 6).astype(np.int32)), pa.array((at & 63).astype(np.int32)), pa.array(counts[at])], names=["word", "bit", "count"])
 
 
-def near_duplicates(df: DataFrame, id_col: str, text_cols: list[str], threshold: float = 0.8, run: int = 5, extra: int = 2):
+def near_duplicates(df: DataFrame, id_col: str, text_cols: list[str], threshold: float = 0.8, run: int = 5, extra: int = 0):
     """Links between texts whose word runs are similar, per text column (at most two).
 
     Returns (classes, pairs): classes has (field, id, rep), one row for each non-null text, rep being the class of
@@ -602,7 +644,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_cols: list[str], threshold:
     total = sum(sizes.values())
     lows, segments = bands(sizes, threshold)
     mean = sum(k * v for k, v in sizes.items()) / total
-    buckets = max(parts, math.ceil(total * mean * 1.5 / 2_000_000))
+    buckets = math.ceil(total * mean * 1.5 / BUCKET_ROWS)
     shipped = spark.sparkContext.broadcast(Plan(threshold, lows, segments, log_df, total, sizes, extra, buckets))
 
     def candidates(fallback=None) -> DataFrame:

@@ -35,6 +35,20 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("field", F.col("a").alias("clause_a"), F.col("b").alias("clause_b"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the held-out items whose passages they hold."""
+    from planweave.llm.leak import leaks
+
+    return leaks(_read(spark, d, "documents"), _read(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a missing or wrong language label and the segments of mixed ones."""
+    from planweave.llm.language import relabelled
+
+    return relabelled(_read(spark, d, "documents")).select("doc_id", "seg_no", "lang")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1].isdigit()}
 
