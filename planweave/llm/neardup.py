@@ -325,28 +325,39 @@ def index(plan: Plan, el: np.ndarray, off: np.ndarray, n: np.ndarray):
     return tuple(np.concatenate([x[k] for x in out]) for k in range(3))
 
 
-def _packed(plan: Plan, rows, hashes, least, ids, n, bits, hits, role: int, salt_all: bool):
-    """Bucketed blobs of subset rows: 24 bits of hash each besides the bucket, grouped by text; chance hits fall to the count and to verification."""
-    salts = np.ceil(least / SALT_ROWS).astype(np.int64)
-    salts = np.maximum(salts, 1)
-    if salt_all:
+def _salted(rows, hashes, least, ids, every: bool):
+    """Subsets expected in very many texts, spread over salts: index rows by id, probes to each."""
+    salts = np.maximum(1, np.ceil(least / SALT_ROWS)).astype(np.int64)
+    if every:
         copies = np.repeat(np.arange(len(rows)), salts)
         which = np.arange(len(copies)) - np.repeat(np.cumsum(salts) - salts, salts)
         rows, hashes = rows[copies], hashes[copies]
     else:
         which = ids[rows] % salts
     with np.errstate(over="ignore"):
-        salted = np.where(which > 0, mix(hashes + which.astype(np.uint64) * _M1), hashes)
-    bucket = ((salted >> np.uint64(32)) % np.uint64(plan.buckets)).astype(np.int64)
-    order = np.lexsort((rows, bucket))
-    bucket, rows, sig = bucket[order], rows[order], salted[order].astype(np.uint32)
-    cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
-    for a, b in zip(cut[:-1], cut[1:]):
-        r = rows[a:b]
-        first = np.concatenate([[0], np.flatnonzero(np.diff(r)) + 1])
-        who = r[first]
-        counts = np.diff(np.concatenate([first, [b - a]]))
-        yield int(bucket[a]), pack(np.array([role]), ids[who], n[who], counts, hits[who] if role == 0 else hits[:0], sig[a:b] & np.uint32(SIG_MASK), *(x[who].view(np.int64) for x in bits))
+        return rows, np.where(which > 0, mix(hashes + which.astype(np.uint64) * _M1), hashes)
+
+
+def _packed(plan: Plan, probe, indexed, ids, n, bits, hits):
+    """A blob per bucket: what is known of each text once, then its probes and its index rows.
+
+    A row is 24 bits of hash besides the bucket; chance hits fall to the parities, the count and verification.
+    """
+    rows = [*_salted(*probe, ids, True), *_salted(*indexed, ids, False)]
+    sorted_ = []
+    for r, h in (rows[:2], rows[2:]):
+        bucket = ((h >> np.uint64(32)) % np.uint64(plan.buckets)).astype(np.uint64)
+        o = np.argsort(bucket * np.uint64(max(1, len(n))) + r.astype(np.uint64))
+        bucket, r, h = bucket[o].astype(np.int64), r[o], h[o] & np.uint64(SIG_MASK)
+        sorted_.append((np.searchsorted(bucket, np.arange(plan.buckets + 1)), r, h))
+    for b in range(plan.buckets):
+        (c, r, h), (c2, r2, h2) = sorted_
+        p, q = slice(c[b], c[b + 1]), slice(c2[b], c2[b + 1])
+        if p.start == p.stop and q.start == q.stop:
+            continue
+        probes_, indexes = np.bincount(r[p], minlength=len(n)), np.bincount(r2[q], minlength=len(n))
+        who = np.flatnonzero(probes_ + indexes)
+        yield b, pack(ids[who], n[who], probes_[who], indexes[who], hits[who], h[p], h2[q], *(x[who].view(np.int64) for x in bits))
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -407,7 +418,7 @@ def signature_batches(shipped, fallback=None):
             buckets, blobs = [], []
             if needed is None:
                 r, h, least, hits, _ = probes(plan, el, off, n)
-                jobs = [(r, h, least, hits, 0), (*index(plan, el, off, n), none, 1)]
+                probe, indexed = (r, h, least), index(plan, el, off, n)
             else:
                 row = np.repeat(np.arange(len(n)), np.diff(off))
                 lacking = lacks(plan, el, off, n)
@@ -417,11 +428,10 @@ def signature_batches(shipped, fallback=None):
                 rank[o] = np.arange(len(o)) - off[row[o]]
                 p = np.flatnonzero(lacking[row] & (rank < (lost(n, plan.t) + 1)[row]))
                 q = np.flatnonzero(needed[el & np.uint32(BINS - 1)])
-                jobs = [(row[p], _single_hash(el[p]), df[p], none + 1, 0), (row[q], _single_hash(el[q]), df[q], none, 1)]
-            for r, h, least, hits, role in jobs:
-                for bucket, blob in _packed(plan, r, h, least, ids, n, bits, hits, role, role == 0):
-                    buckets.append(bucket)
-                    blobs.append(blob)
+                probe, indexed, hits = (row[p], _single_hash(el[p]), df[p]), (row[q], _single_hash(el[q]), df[q]), none + 1
+            for bucket, blob in _packed(plan, probe, indexed, ids, n, bits, hits):
+                buckets.append(bucket)
+                blobs.append(blob)
             yield pa.record_batch([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     return over
@@ -476,16 +486,17 @@ def match_batches(t: float, parts: int, block: int = 500_000):
             yield from bucket_pairs(waiting)
 
     def bucket_pairs(blobs):
-        got = {0: [], 1: []}
+        got = [[] for _ in range(9)]
         for blob in blobs:
-            (role,), *arrays = unpack(blob)
-            ids, n, counts, hits, sig, p, q = arrays
-            got[int(role)].append((ids, n.astype(np.int32), counts.astype(np.int32), hits.astype(np.int32), sig.astype(np.uint32), p.view(np.uint64), q.view(np.uint64)))
-        if not got[0] or not got[1]:
+            types = (np.int64, np.int32, np.int32, np.int32, np.int32, np.uint32, np.uint32, np.uint64, np.uint64)
+            for column, x, kind in zip(got, unpack(blob), types):
+                column.append(x.astype(kind))
+        xi, xn, xc, yc, xh, xs, ys, xp, xq = (np.concatenate(c) for c in got)
+        if not len(xs) or not len(ys):
             return
-        (xi, xn, xc, xh, xs, xp, xq), (yi, yn, yc, _, ys, yp, yq) = ([np.concatenate([g[k] for g in got[role]]) for k in range(7)] for role in (0, 1))
+        yi, yn, yp, yq = xi, xn, xp, xq
         del got
-        xr, yr = np.repeat(np.arange(len(xi), dtype=np.int32), xc), np.repeat(np.arange(len(yi), dtype=np.int32), yc)
+        xr, yr = np.repeat(np.arange(len(xi), dtype=np.int32), xc), np.repeat(np.arange(len(xi), dtype=np.int32), yc)
         o = np.argsort(ys, kind="stable")
         ys, yr = ys[o], yr[o]
         o = np.argsort(xs, kind="stable")
@@ -628,7 +639,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_cols: list[str], threshold:
     copies = spark.sparkContext.broadcast(_bit_table(classes.where("id <> rep"), "id"))
     carriers = rows.where("octet_length(elements) > 0").select("field", "id", "n", "elements")
     unsure = _sifted(carriers, "id", copies, True).join(classes.where("id = rep").select("field", "id"), ["field", "id"])
-    sets = _sifted(carriers, "id", copies, False).unionByName(unsure.select("field", "id", "n", "elements"))
+    sets = _sifted(carriers, "id", copies, False).unionByName(stored(unsure.select("field", "id", "n", "elements"), "unsure"))
 
     sizes: dict[int, int] = {}
     for r in sets.groupBy(F.when(F.col("n") < 4096, F.col("n")).otherwise(F.floor(F.exp(F.floor(F.log("n") * 64) / 64)).cast("int")).alias("n")).count().collect():
