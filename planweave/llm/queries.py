@@ -27,6 +27,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical_entities(_read(spark, d, "clauses"), _read(spark, d, "canon_terms"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of vectors of which one is among the ten most similar of the other, from a cosine of 0.90."""
+    from planweave.llm.knn import similar_pairs
+
+    return similar_pairs(_read(spark, d, "clause_vectors"), "vec_id", "embedding", dim=128, k=10, floor=0.9).select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Clause rows whose texts look the same but are stored differently."""
     from planweave.llm.lookalike import same_look
