@@ -19,6 +19,7 @@ import unicodedata
 
 from pyspark.sql import DataFrame
 
+from planweave.functions.shared import stored
 from planweave.llm.consistent import expand
 from planweave.operators.entities import entities
 
@@ -62,7 +63,7 @@ def key_sql(value: str) -> str:
     """SQL of the compact key of a value, its braces doubled for formatted queries."""
     s = f"lower(translate(regexp_replace({value}, {_lit(r'[\p{Cf}\p{Mn}]')}, ''), {_lit(_FROM)}, {_lit(_TO)}))"
     s = f"trim(regexp_replace({s}, {_lit(r'[^\p{L}\p{N}]+')}, ' '))"
-    s = f"CASE WHEN {s} IN ({', '.join(map(_lit, PLACEHOLDERS))}) THEN '' ELSE {s} END"
+    s = f"regexp_replace({s}, {_lit(f'^({"|".join(PLACEHOLDERS)})$')}, '')"
     s = f"regexp_replace({s}, {_lit(f'^({ARTICLES}) ')}, '')"
     s = f"regexp_replace({s}, {_lit(' (the|an|a)$')}, '')"
     s = f"regexp_replace({s}, {_lit(f'( ({COUNTERS}))?' + r' \p{N}+$')}, '')"
@@ -86,7 +87,9 @@ def mapped(values: DataFrame, terms: DataFrame) -> DataFrame:
              FROM {keyed} WHERE form <> '') GROUP BY kind, form""" % ("|".join(MODALS), ", ".join(map(_lit, MODALS)), "|".join(MODALS)),
         keyed=keyed,
     )
-    keys = spark.sql(f"SELECT kind, value, {key_sql('value')} AS k FROM {{values}}", values=values)
+    # Stored, as they are read several times: the forms, the keys of the distinct values, the matches.
+    forms = stored(forms, "forms")
+    keys = stored(spark.sql(f"SELECT kind, value, {key_sql('value')} AS k FROM {{values}}", values=values), "keys")
     hint = "/*+ BROADCAST(f) */" if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ""
     # Segment i of a form of n letters starts at floor(i n / (k + 1)).
     pieces = spark.sql(
@@ -105,13 +108,13 @@ def mapped(values: DataFrame, terms: DataFrame) -> DataFrame:
             WHERE abs(v.shift) <= f.edits AND f.start + v.shift >= 0 AND f.start + v.shift + f.size <= v.m""",
         keys=keys, places=places,
     )
-    near = spark.sql(
+    near = stored(spark.sql(
         f"""SELECT kind, k, min_by(term_id, struct(d, term_id)) AS term_id FROM (
               SELECT {hint} DISTINCT c.kind, c.k, f.term_id, f.edits, levenshtein(c.k, f.form) AS d FROM {{cut}} c
               JOIN {{pieces}} f ON c.kind = f.kind AND c.n = f.n AND c.i = f.i AND c.piece = f.piece)
             WHERE d <= edits GROUP BY kind, k""",
         cut=cut, pieces=pieces,
-    )
+    ), "near")
     return spark.sql(
         """SELECT v.kind, v.value, n.term_id FROM {keys} v JOIN {near} n ON v.kind = n.kind AND v.k = n.k
            UNION ALL
