@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planweave.llm.consistent import _M1, code_points, mix, tables
+from planweave.llm.consistent import _M1, ARABIC_FORMS, ZWNJ, code_points, mix, tables
 
 LANGUAGES = ["ar", "de", "en", "fa", "fr", "tr"]
 # Spellings of language labels besides the two-letter codes, in lower case and without a country.
@@ -37,10 +37,12 @@ SPELLINGS = {
     "tr": ["tur", "turkish", "türkçe", "turkce"],
 }
 #: Labelled documents the model is fitted on at most.
-SAMPLE = 6000
+SAMPLE = 3000
 BUCKETS = 1 << 15
 SIZE = 16
 SHORTEST = 4
+#: Sentences of fewer words are believed from this confidence on.
+FEW_WORDS, FEW_CONFIDENCE = 7, 0.97
 _SENTENCE = re.compile(r"(?<=[.!?؟。])\s+|[\r\n]+")
 
 
@@ -73,7 +75,16 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         stop[-1] = True
         stop[:-1] = ~w[1:] | starts[1:-1]
     end = np.flatnonzero(w & stop) + 1
-    return t.lower[cps], begin, end, np.searchsorted(begin, off)
+    # Letters of codes such as EI60, and single letters, are no words.
+    digit = np.zeros(len(cps) + 2, bool)
+    digit[1:-1] = t.word[cps] & ~w & (cps != ZWNJ)
+    keep = (end - begin >= 2) & ~(digit[begin] & ~starts[begin]) & ~(digit[end + 1] & ~starts[end])
+    begin, end = begin[keep], end[keep]
+    low = t.lower[cps]
+    # Keyboards of either language write the other's letter forms.
+    for a, b in ARABIC_FORMS.items():
+        low[low == ord(a)] = ord(b)
+    return low, begin, end, np.searchsorted(begin, off)
 
 
 def _distinct_words(cps, begin, end) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,7 +161,15 @@ def _softmax(z):
     return p / p.sum(1, keepdims=True)
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = 6, rate: float = 4.0, seed: int = 7) -> Model:
+def _summed(values: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sum of the values of each."""
+    o = np.argsort(key, kind="stable")
+    k = key[o]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    return k[first], np.add.reduceat(values[o], first, axis=0)
+
+
+def train(texts: list[str], labels: np.ndarray, epochs: int = 6, rate: float = 8.0, seed: int = 7) -> Model:
     """Model of labelled sentences; labels: places in LANGUAGES, some of which may be wrong."""
     cps, begin, end, rows = _words(pa.array(texts, pa.large_string()))
     where, which, _ = _distinct_words(cps, begin, end)
@@ -192,9 +211,9 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 6, rate: float = 4
                 d_sv = p @ out.T
                 out -= step * (sv.T @ p)
                 bias -= step * p.sum(0)
-                d_w = np.zeros((len(uw), SIZE), np.float32)
-                np.add.at(d_w, back, (d_sv / n[:, None])[s])
-                np.add.at(table, b, -step * 8 * np.repeat(d_w / m[:, None], m, axis=0))
+                d_w = _summed((d_sv / n[:, None])[s], back)[1]
+                ub, d_b = _summed(np.repeat(d_w / m[:, None], m, axis=0), b)
+                table[ub] -= step * 8 * d_b
         scores = (table @ out).astype(np.float32)
         model = Model(scores, bias, 1.0, 0.0)
         p, _ = model.probabilities(pa.array([texts[i] for i in fit_all], pa.large_string()))
@@ -241,7 +260,7 @@ def segment_batches(shipped, shortest: int = SHORTEST):
             p, n = model.probabilities(pa.array([s for x in parts for s in x], pa.large_string()))
             whole, words = model.probabilities(batch.column(1))
             best, conf = p.argmax(1), p.max(1)
-            sure = (n >= shortest) & (conf >= model.threshold)
+            sure = (n >= shortest) & (conf >= np.where(n < FEW_WORDS, max(FEW_CONFIDENCE, model.threshold), model.threshold))
             off = np.concatenate([[0], np.cumsum(count)])
             out = [[] for _ in range(7)]
             for d in np.flatnonzero(words > 0):
