@@ -49,6 +49,21 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(_read(spark, d, "documents"), _read(spark, d, "eval_items"))
 
 
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """How often each document is used, so that each source makes up its share of the tokens."""
+    from planweave.llm.mixture import mixture
+
+    return mixture(_read(spark, d, "documents"), _read(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares the mixture reaches."""
+    from planweave.llm.mixture import mixture, shares
+
+    targets = _read(spark, d, "mix_targets")
+    return shares(mixture(_read(spark, d, "documents"), targets), targets)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with a missing or wrong language label and the segments of mixed ones."""
     from planweave.llm.language import relabelled
