@@ -7,8 +7,9 @@ document, are fitted by projected gradient least squares on the relative error
 of each domain's expected tokens.  The gradient of a document depends on the
 residuals of the domains only, a handful of numbers, so an iteration is one
 pass that returns a handful of sums; rates are replayed from the history of
-residuals and never stored.  Rates become whole copies by rounding with a
-uniform number hashed from the id, which never exceeds the cap.
+residuals and never stored.  Rates become whole copies, never above the cap, by
+rounding with a uniform number hashed from the id, shifted per domain until the
+rounded tokens meet the goal.
 
 The size aimed at is the largest at which every listed source that has
 documents can reach its share within its repeats, unless a size is given.
@@ -38,7 +39,7 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: Documents of known source the classifier is fitted on at most.
 SAMPLE = 4000
 BUCKETS = 1 << 14
-STEPS, ENOUGH = 40, 1e-4
+STEPS, ENOUGH, ROUNDINGS = 40, 1e-4, 14
 
 
 def source_key(col: Column) -> Column:
@@ -103,10 +104,17 @@ def fit_classifier(texts: pa.Array, labels: np.ndarray, k: int, epochs: int = 8,
 
 
 class Rates:
-    """Rates of documents, replayed from the residuals of each step."""
+    """Rates of documents, replayed from the residuals of each step, and the whole copies they are rounded to."""
 
     def __init__(self, scale: np.ndarray):
-        self.scale, self.history = scale, []
+        self.scale, self.history, self.shift = scale, [], np.zeros(len(scale))
+
+    def copies(self, ids: np.ndarray, p: np.ndarray, cap: np.ndarray) -> np.ndarray:
+        """Rates rounded by a uniform number hashed from the id, moved by the shift of the likeliest domain."""
+        with np.errstate(over="ignore"):
+            u = (mix(ids.astype(np.uint64) * _M1 + np.uint64(3)) >> np.uint64(11)) / float(1 << 53)
+        r = self.of(p, cap)
+        return np.where(r > 0, np.clip(np.floor(r + u + self.shift[p.argmax(1)]), 0, cap), 0)
 
     def of(self, p: np.ndarray, cap: np.ndarray) -> np.ndarray:
         r = np.zeros(len(p))
@@ -122,7 +130,7 @@ def _arrays(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _domain_sums(members: DataFrame, k: int, rates=None) -> np.ndarray:
-    """Expected tokens of each domain: at the given rates, or the capacity and the plain total if there are none."""
+    """Tokens of each domain: expected and rounded at the given rates, or the capacity and the plain total if there are none."""
 
     def over(batches):
         total = np.zeros((2, k))
@@ -131,7 +139,7 @@ def _domain_sums(members: DataFrame, k: int, rates=None) -> np.ndarray:
             if rates is None:
                 total += [(tokens * cap) @ p, tokens @ p]
             else:
-                total[0] += (tokens * rates.of(p, cap)) @ p
+                total += [(tokens * rates.of(p, cap)) @ p, (tokens * rates.copies(batch.column(0).to_numpy(), p, cap)) @ p]
         yield pa.record_batch([pa.array(np.arange(k, dtype=np.int32)), pa.array(total[0]), pa.array(total[1])], names=["d", "a", "b"])
 
     got = np.zeros((2, k))
@@ -194,15 +202,20 @@ def mixture(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, tot
         residual = np.divide(reached - goal, goal, out=np.zeros(k), where=goal > 0)
         if np.abs(residual).max() < ENOUGH:
             break
+    # Rounding moves a domain of few documents off its share; a shift per domain, found by halving, brings it back.
+    low, high = np.full(k, -1.0), np.full(k, 1.0)
+    for _ in range(ROUNDINGS if total else 0):
+        _, rounded = _domain_sums(members, k, rates)
+        above = rounded > goal
+        low, high = np.where(above, low, rates.shift), np.where(above, rates.shift, high)
+        rates.shift = (low + high) / 2
 
     def counted(batches):
         for batch in batches:
             tokens, cap, p = _arrays(batch)
             r = rates.of(p, cap)
             ids = batch.column(0).to_numpy()
-            with np.errstate(over="ignore"):
-                u = (mix(ids.astype(np.uint64) * _M1 + np.uint64(3)) >> np.uint64(11)) / float(1 << 53)
-            copies = np.floor(r + u).astype(np.int32)
+            copies = rates.copies(ids, p, cap).astype(np.int32)
             best = p.argmax(1)
             yield pa.record_batch([batch.column(0), pa.array(best.astype(np.int32)), pa.array(p[np.arange(len(p)), best]), pa.array(tokens.astype(np.int64)), pa.array(r), pa.array(copies)], names=["doc_id", "d", "membership", "tokens", "rate", "copies"])
 
