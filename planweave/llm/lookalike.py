@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from planweave.llm.consistent import consistent_array
 
@@ -14,9 +15,7 @@ def with_consistent(df: DataFrame, columns: list[str], suffix: str = "_consisten
     names = [c + suffix for c in columns]
     if clash := set(names) & set(df.columns):
         raise ValueError(f"columns {sorted(clash)} exist already")
-    schema = df.schema
-    for c in names:
-        schema = schema.add(c, "string")
+    schema = T.StructType([*df.schema, *[T.StructField(c, T.StringType()) for c in names]])
 
     def over(batches):
         for batch in batches:

@@ -203,13 +203,15 @@ def _segmented(plan: Plan, el: np.ndarray, row: np.ndarray, band: np.ndarray):
     seg = (mix(el.astype(np.uint64)) % plan.segments[band].astype(np.uint64)).astype(np.uint64)
     log = plan.log_df[el & np.uint32(BINS - 1)]
     bits = max(1, int(len(el)).bit_length())
-    if bits + 8 + int(plan.segments.max()).bit_length() + int(row.max() if len(row) else 0).bit_length() > 64:
-        raise ValueError("a batch is too large")
-    # One sort of packed numbers: row, segment, count, index; equal elements of two rows may come in either order.
     group = row.astype(np.uint64) * np.uint64(int(plan.segments.max()) + 1) + seg
-    packed = np.sort((group << np.uint64(bits + 8)) | (log.astype(np.uint64) << np.uint64(bits)) | np.arange(len(el), dtype=np.uint64))
-    order = (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
-    key = packed >> np.uint64(bits + 8)
+    if bits + 8 + int(group.max() if len(group) else 0).bit_length() <= 64:
+        # One sort of packed numbers: group, count, index; equal counts may come in either order.
+        packed = np.sort((group << np.uint64(bits + 8)) | (log.astype(np.uint64) << np.uint64(bits)) | np.arange(len(el), dtype=np.uint64))
+        order = (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
+        key = packed >> np.uint64(bits + 8)
+    else:
+        order = np.lexsort((log, group))
+        key = group[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.concatenate([first, [len(key)]]))
     place = np.arange(len(key)) - np.repeat(first, size)
@@ -271,10 +273,10 @@ def lacks(plan: Plan, el: np.ndarray, off: np.ndarray, n: np.ndarray) -> np.ndar
     """Whether each set has too few disjoint subsets within its segments."""
     band = np.searchsorted(plan.lows, n, "right") - 1
     row = np.repeat(np.arange(len(n)), np.diff(off))
-    most = int(plan.segments.max())
-    seg = (mix(el.astype(np.uint64)) % plan.segments[band[row]].astype(np.uint64)).astype(np.int64)
-    count = np.bincount(row * most + seg, minlength=len(n) * most).reshape(len(n), most)
-    have = (count // 2).sum(1) + ((count % 2 == 1) & (count >= 3)).sum(1)
+    seg = mix(el.astype(np.uint64)) % plan.segments[band[row]].astype(np.uint64)
+    group, count = np.unique(row.astype(np.uint64) * np.uint64(int(plan.segments.max()) + 1) + seg, return_counts=True)
+    owner = (group // np.uint64(int(plan.segments.max()) + 1)).astype(np.int64)
+    have = np.bincount(owner, weights=count // 2 + ((count % 2 == 1) & (count >= 3)), minlength=len(n))
     return (np.where(band == 0, n, have) < lost(n, plan.t) + 1) & (n > 0)
 
 
@@ -344,20 +346,25 @@ def _packed(plan: Plan, probe, indexed, ids, n, bits, hits):
     A row is 24 bits of hash besides the bucket; chance hits fall to the parities, the count and verification.
     """
     rows = [*_salted(*probe, ids, True), *_salted(*indexed, ids, False)]
-    sorted_ = []
-    for r, h in (rows[:2], rows[2:]):
-        bucket = ((h >> np.uint64(32)) % np.uint64(plan.buckets)).astype(np.uint64)
-        o = np.argsort(bucket * np.uint64(max(1, len(n))) + r.astype(np.uint64))
-        bucket, r, h = bucket[o].astype(np.int64), r[o], h[o] & np.uint64(SIG_MASK)
-        sorted_.append((np.searchsorted(bucket, np.arange(plan.buckets + 1)), r, h))
-    for b in range(plan.buckets):
-        (c, r, h), (c2, r2, h2) = sorted_
-        p, q = slice(c[b], c[b + 1]), slice(c2[b], c2[b + 1])
-        if p.start == p.stop and q.start == q.stop:
-            continue
-        probes_, indexes = np.bincount(r[p], minlength=len(n)), np.bincount(r2[q], minlength=len(n))
-        who = np.flatnonzero(probes_ + indexes)
-        yield b, pack(ids[who], n[who], probes_[who], indexes[who], hits[who], h[p], h2[q], *(x[who].view(np.int64) for x in bits))
+    for b, p, h, q, h2 in by_bucket(rows[:2], rows[2:], plan.buckets, len(n)):
+        who, at = np.unique(np.concatenate([p, q]), return_inverse=True)
+        probes_, indexes = np.bincount(at[: len(p)], minlength=len(who)), np.bincount(at[len(p) :], minlength=len(who))
+        yield b, pack(ids[who], n[who], probes_, indexes, hits[who], h, h2, *(x[who].view(np.int64) for x in bits))
+
+
+def by_bucket(probe, indexed, buckets: int, total: int):
+    """(bucket, probe rows, their hashes, index rows, their hashes) of each bucket that has any, rows in order."""
+    sides = []
+    for r, h in (probe, indexed):
+        bucket = (h >> np.uint64(32)) % np.uint64(buckets)
+        o = np.argsort(bucket * np.uint64(max(1, total)) + r.astype(np.uint64))
+        sides.append((bucket[o].astype(np.int64), r[o], h[o] & np.uint64(SIG_MASK)))
+    (b1, r1, h1), (b2, r2, h2) = sides
+    present = np.union1d(b1, b2)
+    cuts = [(np.searchsorted(b, present, "left"), np.searchsorted(b, present, "right")) for b in (b1, b2)]
+    for k, b in enumerate(present):
+        p, q = (slice(lo[k], hi[k]) for lo, hi in cuts)
+        yield int(b), r1[p], h1[p], r2[q], h2[q]
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -387,15 +394,16 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _merged(batches, rows: int = 16384):
-    """Batches joined to about so many rows, as packing pays by the batch."""
-    kept, n = [], 0
+def _merged(batches, rows: int = 16384, size: int = 32_000_000):
+    """Batches joined to about so many rows or bytes, as packing pays by the batch."""
+    kept, n, m = [], 0, 0
     for b in batches:
         kept.append(b)
         n += b.num_rows
-        if n >= rows:
+        m += b.nbytes
+        if n >= rows or m >= size:
             yield pa.Table.from_batches(kept)
-            kept, n = [], 0
+            kept, n, m = [], 0, 0
     if n:
         yield pa.Table.from_batches(kept)
 
