@@ -158,7 +158,8 @@ def mixture(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, tot
     k = len(names)
     ours = F.array_position(F.array(*map(F.lit, names)), F.col("source")).cast("int") - 1
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), source_key(F.col(source)).alias("source")).where("doc_id is not null and text is not null")
-    base = base.select("doc_id", "text", F.when(F.col("source").isNull(), F.lit(-1)).otherwise(ours).alias("domain")).where(f"domain >= -1 and domain < {k}").where("domain <> -1 or domain is not null")
+    # -1: no source is told; null: a source that is not listed.
+    base = base.select("doc_id", "text", F.when(F.col("source").isNull(), F.lit(-1)).when(ours >= 0, ours).alias("domain")).where("domain is not null")
     known = docs.select(source_key(F.col(source)).alias("source"), F.col(text).alias("text"), F.xxhash64(doc_id).alias("h")).select("text", "h", ours.alias("domain")).where("domain >= 0 and text is not null")
     present = np.zeros(k, bool)
     present[[r["domain"] for r in known.groupBy("domain").count().collect()]] = True
