@@ -15,6 +15,8 @@ def shared_dir(spark: SparkSession) -> str:
         jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm.isDefined():
             got = jvm.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         else:
             got = "file://" + tempfile.mkdtemp(prefix="planweave-")
             spark.sparkContext.setCheckpointDir(got)
