@@ -8,7 +8,7 @@ stays an equi join and a dense plan is spread over many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planweave.functions import geometry as G
@@ -44,20 +44,41 @@ def nearest_segment(points: DataFrame, segments: DataFrame, cutoff: float, cell:
     return points.select("plan_id", "id", "ord").join(best, ["plan_id", "id", "ord"], "left").select("plan_id", "id", "ord", F.col("b.wall_id").alias("wall_id"), F.col("b.d").alias("distance"))
 
 
+def _in_reach(points: DataFrame, polygons: DataFrame, cutoff: float, cell: float | None) -> DataFrame:
+    """(plan_id, id, ord, d, room_ord, room_id) of each point and each polygon of its plan within the cut-off."""
+    cell = cell or max(4 * cutoff, 1.0)
+    placed = at_cell(points.where("x is not null and y is not null"), F.col("x"), F.col("y"), cell)
+    b = polygons.where(F.size("ring") >= 3).select("plan_id", "room_id", F.col("ord").alias("room_ord"), G.edges(F.col("ring")).alias("edges"), G.bounds(F.col("ring")).alias("b"))
+    b = in_cells(b, F.col("b.x1") - cutoff, F.col("b.y1") - cutoff, F.col("b.x2") + cutoff, F.col("b.y2") + cutoff, cell)
+    return placed.join(b, ["plan_id", "cx", "cy"]).withColumn("d", G.ring_distance(F.col("x"), F.col("y"), F.col("edges"))).where(F.col("d") <= cutoff).select("plan_id", "id", "ord", "d", "room_ord", "room_id")
+
+
 def nearest_polygon(points: DataFrame, polygons: DataFrame, cutoff: float, cell: float | None = None) -> DataFrame:
     """Each point with the nearest polygon of its plan within the cut-off (0 inside); points without one are dropped.
 
     points: (plan_id, id, ord, x, y); polygons: (plan_id, room_id, ord, ring).
     """
-    cell = cell or max(4 * cutoff, 1.0)
-    placed = at_cell(points.where("x is not null and y is not null"), F.col("x"), F.col("y"), cell)
-    b = polygons.where(F.size("ring") >= 3).select("plan_id", "room_id", F.col("ord").alias("room_ord"), G.edges(F.col("ring")).alias("edges"), G.bounds(F.col("ring")).alias("b"))
-    b = in_cells(b, F.col("b.x1") - cutoff, F.col("b.y1") - cutoff, F.col("b.x2") + cutoff, F.col("b.y2") + cutoff, cell)
-    pairs = placed.join(b, ["plan_id", "cx", "cy"]).withColumn("d", G.ring_distance(F.col("x"), F.col("y"), F.col("edges"))).where(F.col("d") <= cutoff)
-    best = pairs.groupBy("plan_id", "id", "ord").agg(F.min(F.struct("d", "room_ord", "room_id")).alias("n"))
+    best = _in_reach(points, polygons, cutoff, cell).groupBy("plan_id", "id", "ord").agg(F.min(F.struct("d", "room_ord", "room_id")).alias("n"))
     return best.select("plan_id", "id", "ord", F.col("n.room_id").alias("room_id"), F.col("n.d").alias("distance"))
 
 
+def two_polygons(points: DataFrame, polygons: DataFrame, cutoff: float, cell: float | None = None) -> DataFrame:
+    """(plan_id, id, ord, a, b): the polygon nearest to a point's first place, and of the others the one nearest to its second.
+
+    points: (plan_id, id, ord, side, x, y), the places of a point being its sides 0 and 1; polygons as above.
+    Points with neither are dropped; where no polygon is near the first place, none is left out at the second.
+    """
+    keys = ["plan_id", "id", "ord"]
+    sides = points.where("x is not null and y is not null").withColumn("ord", F.struct("ord", "side"))
+    each = _in_reach(sides, polygons, cutoff, cell).groupBy(*keys, "room_id").agg(F.min(F.struct("d", "room_ord")).alias("n"))
+    # Of the two nearest to the second place one at least is not the first's.
+    ranked = each.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("n", "room_id"))).where(F.col("r") <= 2)
+    ranked = ranked.select("plan_id", "id", "ord.ord", "ord.side", "r", "room_id")
+    pick = lambda side, r: F.max(F.when((F.col("side") == side) & (F.col("r") == r), F.col("room_id")))
+    got = ranked.groupBy(*keys).agg(pick(0, 1).alias("a"), pick(1, 1).alias("b"), pick(1, 2).alias("c"))
+    return got.select(*keys, "a", F.when(F.col("a") == F.col("b"), F.col("c")).otherwise(F.col("b")).alias("b"))
+
+
 def overlapping_boxes(boxes: DataFrame, least: float, cell: float) -> DataFrame:
     """(plan_id, id_a, id_b, iou), ord_a < ord_b: boxes of one plan whose IoU is above the least.
 

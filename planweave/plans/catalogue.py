@@ -484,12 +484,12 @@ def room_links(spark, d):
     n = G.length(*(F.col(c) for c in ("x1", "y1", "x2", "y2")))
     o = o.join(w, ["plan_id", "host_wall_id"], "left").withColumn("n", n)
     probes = o.withColumn("s", F.explode(F.array(F.lit(1.0), F.lit(-1.0)))).select(
-        "plan_id", "id", (F.col("ord") * 2 + F.when(F.col("s") > 0, 0).otherwise(1)).alias("ord"),
+        "plan_id", "id", "ord", F.when(F.col("s") > 0, 0).otherwise(1).alias("side"),
         F.when(F.col("n") > 0, F.col("x") - F.col("s") * 150 * (F.col("y2") - F.col("y1")) / F.col("n")).otherwise(F.col("x")).alias("x"),
         F.when(F.col("n") > 0, F.col("y") + F.col("s") * 150 * (F.col("x2") - F.col("x1")) / F.col("n")).otherwise(F.col("y")).alias("y"),
     )
-    met = spatial.nearest_polygon(probes, E.rooms(plans), 300.0)
-    return met.groupBy("plan_id", "id").agg(F.sort_array(F.collect_set("room_id")).alias("rooms")).select("plan_id", "id", F.get("rooms", 0).alias("room_a"), F.get("rooms", 1).alias("room_b"))
+    met = spatial.two_polygons(probes, E.rooms(plans), 300.0).withColumn("rooms", F.sort_array(F.array_compact(F.array("a", "b"))))
+    return met.select("plan_id", "id", F.get("rooms", 0).alias("room_a"), F.get("rooms", 1).alias("room_b"))
 
 
 @query()

@@ -2,7 +2,9 @@
 
 import glob
 import json
+import math
 import os
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -155,6 +157,50 @@ def test_nearest_ties_and_reach(spark):
     assert got == {"a": ("w1", 3.0), "b": (None, None), "c": (None, None), "d": (None, None)}
 
 
+def _apart(x, y, ring):
+    """Distance of a point from a rectangle given by its corners."""
+    xs, ys = [p[0] for p in ring], [p[1] for p in ring]
+    return max(min(xs) - x, x - max(xs), 0.0), max(min(ys) - y, y - max(ys), 0.0)
+
+
+def _room_links(plan):
+    """Plain model: nearest room to the first probe, then to the second among the other rooms."""
+    walls = {w[0]: w for w in plan["walls"]}
+    out = set()
+    for door, host, x, y in plan["doors"]:
+        probes = [(x, y)] * 2
+        if host in walls and (n := math.dist(walls[host][1], walls[host][2])):
+            (x1, y1), (x2, y2) = walls[host][1:]
+            probes = [(x - s * 150 * (y2 - y1) / n, y + s * 150 * (x2 - x1) / n) for s in (1, -1)]
+        met = []
+        for p in probes:
+            near = [(math.hypot(*_apart(*p, ring)), k, room) for k, (room, ring) in enumerate(plan["rooms"]) if room not in met]
+            met += [b[2] for b in [min(near, default=(1e9,))] if b[0] <= 300]
+        if met:
+            out.add((plan["plan_id"], door, *(sorted(met) + [None])[:2]))
+    return out
+
+
+def test_room_links_exclude_the_first_room(spark, tmp_path):
+    rng = random.Random(5)
+    box = lambda x, y, w, h: [[x, y], [x + w, y], [x + w, y + h], [x, y + h]]
+    plans = [{"plan_id": "edge", "rooms": [("r1", box(0, 0, 1000, 1000)), ("r2", box(1100, 0, 1000, 1000))], "walls": [("w", (1050.0, 0.0), (1050.0, 1000.0))],
+              "doors": [("hostless", None, 1050.0, 500.0), ("shifted", "w", 800.0, 500.0), ("on", "w", 1050.0, 500.0), ("outer", None, 0.0, 500.0), ("far", None, 9000.0, 0.0)]}]
+    for k in range(20):
+        rooms = [(f"r{i}", box(rng.uniform(0, 3000), rng.uniform(0, 3000), rng.uniform(100, 1500), rng.uniform(100, 1500))) for i in range(6)]
+        walls = [(f"w{i}", (rng.uniform(0, 4000), rng.uniform(0, 4000)), (rng.uniform(0, 4000), rng.uniform(0, 4000))) for i in range(3)]
+        plans.append({"plan_id": f"p{k}", "rooms": rooms, "walls": walls, "doors": [(f"d{i}", rng.choice(["w0", "w1", "w2", "gone", None]), rng.uniform(-300, 4500), rng.uniform(-300, 4500)) for i in range(15)]})
+    schema = spark.read.parquet("/root/testdata/sf0.001/plans.parquet").select("plan_id", "rooms", "walls", "doors").schema
+    rows = []
+    for p in plans:
+        rows.append(json.dumps({"plan_id": p["plan_id"], "rooms": [{"id": i, "polygon": r} for i, r in p["rooms"]], "walls": [{"id": i, "start_point": a, "end_point": b} for i, a, b in p["walls"]], "doors": [{"id": i, "host_wall_id": h, "insertion_point": [x, y]} for i, h, x, y in p["doors"]]}))
+    spark.read.schema(schema).json(spark.sparkContext.parallelize(rows)).write.parquet(str(tmp_path / "plans.parquet"))
+    got = [tuple(r) for r in catalogue.room_links(spark, str(tmp_path)).collect()]
+    want = set().union(*map(_room_links, plans))
+    assert {("edge", "hostless", "r1", "r2"), ("edge", "shifted", "r1", "r2"), ("edge", "outer", "r1", None)} <= want
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_graph(spark):
     nodes = spark.createDataFrame([(g, n) for g in (1, 2) for n in range(40)], "g int, node int")
     edges = spark.createDataFrame([(1, i, i + 1) for i in range(29)] + [(1, 5, 5), (1, 33, 34), (1, 3, 99), (2, 1, 0), (2, 1, 0)], "g int, a int, b int")
