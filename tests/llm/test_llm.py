@@ -161,6 +161,25 @@ def test_recall_against_brute_force(spark, data):
     assert len(got & want) >= 0.97 * len(want) and not got - want
 
 
+@pytest.mark.parametrize("total", [1_000, 30_000, 300_000, 3_000_000, 100_000_000])
+def test_hits_at_the_floor_at_every_size(total):
+    m, tables = knn.sized(total, 0.9)
+    assert m >= 11 or total < 300_000
+    # Pairs of unit vectors through the plan itself, with another seed than the model's.
+    rng = np.random.default_rng(23)
+    x = rng.normal(size=(4000, 128))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    z = rng.normal(size=x.shape)
+    z -= (z * x).sum(1)[:, None] * x
+    y = 0.9 * x + np.sqrt(1 - 0.81) * z / np.linalg.norm(z, axis=1)[:, None]
+    plan = knn.Plan(128, m, tables, knn.PROBES, knn.WIDTH, 1, 0, 11)
+    met = np.zeros(len(x), bool)
+    for t in range(tables):
+        (a, pa_), (b, pb) = plan.keys(x.astype(np.float32), t), plan.keys(y.astype(np.float32), t)
+        met |= (b[:, None] == pa_).any(1) | (a[:, None] == pb).any(1)
+    assert met.mean() > 0.885
+
+
 def test_vectors_edge_cases(spark):
     e = [1.0] + [0.0] * 127
     rows = [(i, e) for i in range(20)] + [(30, [0.0] * 128), (31, None), (32, e[:5]), (33, [float("nan"), *e[1:]]), (34, [2.0, *e[1:]]), (35, [0.0, 1.0, *e[2:]])]
