@@ -34,6 +34,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return similar_pairs(_read(spark, d, "clause_vectors"), "vec_id", "embedding", dim=128, k=10, floor=0.9).select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"))
 
 
+def p4_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The ten vectors most similar to each whose id is divisible by 100, among all rows and however far: exact."""
+    from planweave.operators.measures import top_k_batch
+
+    rows = top_k_batch(_read(spark, d, "clause_vectors"), "vec_id", "embedding", 128, F.col("vec_id") % 100 == 0, 10, itself=False)
+    return rows.select(F.col("query_id").alias("vec_id"), F.col("id").alias("neighbour"), F.col("score").alias("similarity"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Clause rows whose texts look the same but are stored differently."""
     from planweave.llm.lookalike import same_look

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,6 +77,85 @@ def top_k(df: DataFrame, vector: str, query: list[float], k: int, tie: list[str]
     return scored.where(F.col("score").isNotNull() & ~F.isnan("score")).orderBy(F.desc("score"), *tie).limit(k)
 
 
+def _units(lists, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the valid vectors of a list column (of the length, finite, not zero) and the vectors at length one."""
+    off = lists.offsets.to_numpy()
+    size = np.where(lists.is_valid().to_numpy(zero_copy_only=False), np.diff(off), 0)
+    at = np.flatnonzero(size == dim)
+    flat = lists.values.to_numpy(zero_copy_only=False)
+    x = flat[off[at][:, None] + np.arange(dim)].astype(np.float64) if len(at) else np.zeros((0, dim))
+    with np.errstate(over="ignore", invalid="ignore"):
+        norm = np.sqrt((x * x).sum(1))
+    good = np.isfinite(norm) & (norm > 0)
+    return at[good], x[good] / norm[good, None]
+
+
+def _best_batches(shipped, dim: int, k: int, itself: bool, step: int = 2048):
+    """Batches of (id, vector) to the k best rows of each shipped query within the partition."""
+
+    def over(batches):
+        asked, q = shipped.value
+        best = np.full((len(asked), k), -np.inf)
+        best_id = np.full((len(asked), k), np.iinfo(np.int64).max)
+        for batch in batches:
+            at, u = _units(batch.column(1), dim)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)[at]
+            for lo in range(0, len(ids), step):
+                some = ids[lo : lo + step]
+                for a in range(0, len(asked), step):
+                    rows = slice(a, min(a + step, len(asked)))
+                    score = q[rows] @ u[lo : lo + step].T
+                    least = best[rows, -1]
+                    most = k if itself else k + 1
+                    if len(some) > most and np.isneginf(least).any():
+                        least = np.maximum(least, np.partition(score, -most, axis=1)[:, -most])
+                    # What may be equal when rounded is kept, as ids break ties.
+                    r, c = np.nonzero(score >= least[:, None] - 1e-9)
+                    if not itself:
+                        other = asked[rows][r] != some[c]
+                        r, c = r[other], c[other]
+                    touched = np.unique(r)
+                    row = np.concatenate([r, np.repeat(touched, k)])
+                    value = np.concatenate([np.round(score[r, c], 9), best[rows][touched].ravel()])
+                    who = np.concatenate([some[c], best_id[rows][touched].ravel()])
+                    o = np.lexsort((who, -value, row))
+                    start = np.searchsorted(row[o], touched)
+                    take = o[(start[:, None] + np.arange(k)).ravel()] if len(touched) else o[:0]
+                    best[a + touched], best_id[a + touched] = value[take].reshape(-1, k), who[take].reshape(-1, k)
+        r, c = np.nonzero(np.isfinite(best))
+        yield pa.record_batch([pa.array(asked[r]), pa.array(best_id[r, c]), pa.array(best[r, c])], names=["query_id", "id", "score"])
+
+    return over
+
+
+def top_k_batch(df: DataFrame, id_col: str, vector: str, dim: int, asked: Column, k: int, itself: bool = True, block: int = 8192) -> DataFrame:
+    """(query_id, id, score): the k rows most similar to each asked row, exact, ties by the lesser id.
+
+    Scores are cosines to nine decimals, which also order the rows.  Queries go in blocks, each against all rows;
+    a task keeps the k best of each query of its block.  Vectors that are null, zero, of another length or not finite are no case.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    spark = df.sparkSession
+    pick = lambda rows: rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    rows, queries = pick(df), pick(df.where(asked))
+    blocks = max(1, -(-queries.count() // block))
+    kind, found = "query_id long, id long, score double", []
+    for i in range(blocks):
+        got = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).toArrow().combine_chunks()
+        batches = [(b.column(0).to_numpy(zero_copy_only=False), *_units(b.column(1), dim)) for b in got.to_batches()]
+        if not batches:
+            continue
+        ids, units = np.concatenate([b[0][b[1]] for b in batches]), np.concatenate([b[2] for b in batches])
+        found.append(rows.mapInArrow(_best_batches(spark.sparkContext.broadcast((ids, units)), dim, k, itself), kind))
+    if not found:
+        return spark.createDataFrame([], kind)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("r") <= k).select("query_id", "id", "score")
+
+
 def notes(*pairs: tuple[Column, str]) -> Column:
     """The texts of the conditions that hold, in order."""
     return F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in pairs]))

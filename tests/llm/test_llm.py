@@ -1,6 +1,7 @@
 """Operators of the llm subpackage against brute force on small fixtures, with their edge cases."""
 
 import itertools
+import math
 import random
 import re
 import unicodedata
@@ -180,6 +181,39 @@ def test_hits_at_the_floor_at_every_size(total):
     assert met.mean() > 0.885
 
 
+def test_nearest_without_floor(spark, data):
+    from planweave.llm.queries import queries
+
+    got = {}
+    for r in queries()["p4_nearest"](spark, data).collect():
+        got.setdefault(r["vec_id"], set()).add((r["neighbour"], r["similarity"]))
+    rows = [(r["vec_id"], np.array(r["embedding"], float)) for r in spark.read.parquet(f"{data}/clause_vectors.parquet").collect() if r["embedding"] is not None and len(r["embedding"]) == 128]
+    rows = [(i, v / np.linalg.norm(v)) for i, v in rows if np.isfinite(v).all() and v.any()]
+    ids, x = np.array([r[0] for r in rows]), np.stack([r[1] for r in rows])
+    for i in np.flatnonzero(ids % 100 == 0):
+        score = np.round(x @ x[i], 9)
+        best = [j for j in np.lexsort((ids, -score)) if j != i][:10]
+        assert sorted(b for b, _ in got.pop(ids[i])) == sorted(ids[best].tolist())
+    assert not got
+
+
+def test_batch_search_keeps_ties_and_blocks(spark):
+    from planweave.operators.measures import top_k_batch
+
+    rng = np.random.default_rng(2)
+    v = [[1.0, 0.0]] * 30 + [[float(a), float(b)] for a, b in rng.integers(-3, 4, (200, 2))] + [[math.nan, 1.0], [1.0], None, [0.0, 0.0]]
+    df = spark.createDataFrame([(len(v) - i, x) for i, x in enumerate(v)], "id long, v array<double>").repartition(3)
+    x = {len(v) - i: np.array(p) for i, p in enumerate(v) if p is not None and len(p) == 2 and np.isfinite(p).all() and any(p)}
+    for itself in (True, False):
+        got = {}
+        for r in top_k_batch(df, "id", "v", 2, F.col("id") % 10 == 0, 5, itself, block=4).collect():
+            got.setdefault(r["query_id"], []).append((-r["score"], r["id"]))
+        cos = lambda a, b: round(float(x[a] @ x[b] / np.sqrt((x[a] @ x[a]) * (x[b] @ x[b]))), 9)
+        want = {q: sorted((-cos(q, b), b) for b in x if itself or b != q)[:5] for q in x if q % 10 == 0}
+        assert {q: [i for _, i in sorted(p)] for q, p in got.items()} == {q: [i for _, i in p] for q, p in want.items()}
+    assert top_k_batch(df, "id", "v", 2, F.col("id") < 0, 5).count() == 0
+
+
 def test_vectors_edge_cases(spark):
     e = [1.0] + [0.0] * 127
     rows = [(i, e) for i in range(20)] + [(30, [0.0] * 128), (31, None), (32, e[:5]), (33, [float("nan"), *e[1:]]), (34, [2.0, *e[1:]]), (35, [0.0, 1.0, *e[2:]])]
