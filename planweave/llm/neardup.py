@@ -40,6 +40,8 @@ BINS = 1 << 20
 TINY = 8
 SALT_ROWS = 100_000
 NEAR = 6
+#: Sizes are counted as they are below the first, above it rounded down by at most the second (and to an integer).
+SIZES_EXACT, SIZE_STEP = 4096, math.exp(1 / 64)
 #: Subset rows of a bucket, which one task holds packed.
 BUCKET_ROWS = 3_000_000
 SIG_MASK = (1 << 24) - 1
@@ -298,6 +300,11 @@ def _single_hash(el: np.ndarray) -> np.ndarray:
         return mix(el.astype(np.uint64) * _M1 + np.uint64(77))
 
 
+def least_kept(n: np.ndarray) -> np.ndarray:
+    """A bound below which no size of at least n is kept in the counts of sizes."""
+    return np.where(n * SIZE_STEP > SIZES_EXACT, np.floor(n / SIZE_STEP).astype(np.int64) - 1, n)
+
+
 def index(plan: Plan, el: np.ndarray, off: np.ndarray, n: np.ndarray):
     """(row, hash, least expected count) of every subset a smaller set may probe."""
     band_of = np.searchsorted(plan.lows, n, "right") - 1
@@ -309,7 +316,8 @@ def index(plan: Plan, el: np.ndarray, off: np.ndarray, n: np.ndarray):
         ok = band >= 0
         low = plan.lows[np.maximum(band, 0)]
         high = np.where(band + 1 < len(plan.lows), plan.lows[np.minimum(np.maximum(band, 0) + 1, len(plan.lows) - 1)], np.iinfo(np.int64).max)
-        a = np.searchsorted(plan.sizes, np.maximum(reach, low))
+        # A partner's size may be kept rounded down by up to one step.
+        a = np.searchsorted(plan.sizes, least_kept(np.maximum(reach, low)))
         b = np.searchsorted(plan.sizes, np.minimum(n + 1, high))
         ok &= b > a
         here = np.flatnonzero(ok[row] & (band[row] > 0))

@@ -114,6 +114,28 @@ def test_links_with_skew_and_long_texts(spark):
     assert empty[0].count() == 0 and empty[1].count() == 0
 
 
+GRIDS = [[1, 8, 38, 152, 608, 2435, 9742], [1, 8, 13, 53, 215, 861, 3444, 13777]]
+
+
+@pytest.mark.parametrize("lows", GRIDS)
+def test_large_sets_are_indexed_for_their_partners(lows):
+    # Sizes on both sides of a bound and of what a set reaches.
+    sizes = [(9742, 9742), (9743, 9771), (9700, 9760), (5846, 9743), (9742, 16230), (8276, 13777), (8267, 13778), (13777, 13780), (13700, 13777), (13790, 22980), (4096, 6826), (4080, 4100), (2458, 4096)]
+    for x, y in sizes:
+        el = np.random.default_rng(x).permutation(np.unique(np.random.default_rng(y).integers(0, 2**32, 2 * y, np.uint64)))[:y].astype(np.uint32)
+        kept = {n if n < 4096 else math.floor(math.exp(math.floor(math.log(n) * 64) / 64)): 1 for n in (x, y)}
+        plan = neardup.Plan(0.6, lows, [max(1, round(low * 0.6)) for low in lows], np.zeros(neardup.BINS, np.uint8), 2, kept, 0, 1)
+        probe = neardup.probes(plan, el[:x], np.array([0, x]), np.array([x]))
+        indexed = neardup.index(plan, el, np.array([0, y]), np.array([y]))
+        assert not probe[4].any() and np.isin(probe[1], indexed[1]).sum() >= probe[3][0], (x, y)
+
+
+def test_kept_sizes_are_not_below_their_bound(spark):
+    rounded = F.floor(F.exp(F.floor(F.log("id") * 64) / 64)).cast("int")
+    rows = spark.range(1, 200_000).select("id", F.when(F.col("id") < 4096, F.col("id")).otherwise(rounded).alias("n")).toPandas()
+    assert (rows["n"].to_numpy() >= neardup.least_kept(rows["id"].to_numpy())).all()
+
+
 def test_packing():
     rng = np.random.default_rng(1)
     arrays = [rng.integers(-(2**63), 2**63 - 1, 50), np.zeros(0, np.int64), np.full(7, -3), rng.integers(0, 300, 99)]
