@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from planweave.functions.shared import stored
 from planweave.llm.consistent import consistent_array
 
 
@@ -40,6 +41,12 @@ def same_look(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
             yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), consistent_array(batch.column(2)).cast(pa.string())], names=["id", "field", "text", "form"])
 
     rows = long.mapInArrow(over, "id long, field string, text string, form string").select("id", "field", F.unhex(F.md5("form")).alias("form"), F.unhex(F.md5("text")).alias("stored"))
-    a = rows.select("field", "form", F.col("id").alias("a"), F.col("stored").alias("stored_a"))
-    b = rows.select("field", "form", F.col("id").alias("b"), F.col("stored").alias("stored_b"))
-    return a.join(b, ["field", "form"]).where("a < b and stored_a <> stored_b").select("field", "a", "b")
+    rows = stored(rows, "forms")
+    # Only forms stored in several ways take part, by one row for each way.
+    ways = rows.select("field", "form", "stored").distinct()
+    mixed = stored(ways.join(ways.groupBy("field", "form").agg(F.count("*").alias("ways")).where("ways > 1").select("field", "form"), ["field", "form"]), "ways")
+    x, y = (mixed.select("field", "form", F.col("stored").alias(f"stored_{k}")) for k in "ab")
+    met = x.join(y, ["field", "form"]).where("stored_a < stored_b")
+    a, b = (rows.select("field", "form", F.col("id").alias(f"id_{k}"), F.col("stored").alias(f"stored_{k}")) for k in "ab")
+    pairs = met.join(a, ["field", "form", "stored_a"]).join(b, ["field", "form", "stored_b"]).where("id_a <> id_b")
+    return pairs.select("field", F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))

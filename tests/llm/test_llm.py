@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import threading
 import unicodedata
 
 import numpy as np
@@ -62,6 +63,20 @@ def test_same_look_pairs(spark):
         lookalike.with_consistent(out, ["text_fa"])
 
 
+def test_hot_text_stored_one_way_makes_no_pairs_to_compare(spark):
+    # As all pairs of the hot group this would be 10^10 rows.
+    hot = spark.range(200_000).selectExpr("id as clause_id", "'hot  text' as t")
+    df = hot.unionByName(spark.createDataFrame([(300_000, "a b"), (300_001, "a  b"), (300_002, "a  b"), (300_003, "a b ")], "clause_id long, t string"))
+    spark.sparkContext.setJobGroup("hot", "hot", True)
+    stop = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    stop.start()
+    try:
+        got = sorted((r["a"] - 300_000, r["b"] - 300_000) for r in lookalike.same_look(df, "clause_id", ["t"]).collect())
+    finally:
+        stop.cancel()
+    assert got == [(0, 1), (0, 2), (0, 3), (1, 3), (2, 3)]
+
+
 # ------------------------------------------------------------------ p1
 
 
