@@ -419,6 +419,20 @@ def cosine_topk_filtered(spark, d):
     return out.select("vec_id", "label", F.round("score", 9).alias("score"))
 
 
+_TOP_BATCH = """SELECT query_id, vec_id, label, score FROM (
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM (
+SELECT q.vec_id AS query_id, e.vec_id, e.label, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 9) AS score
+FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)) WHERE r <= 10"""
+
+
+@query(_TOP_BATCH)
+def cosine_topk_batch(spark, d):
+    """The ten vectors most similar to each whose id is divisible by 100, among all rows, exact."""
+    e = _read(spark, d, "embeddings")
+    found = measures.top_k_batch(e, "vec_id", "embedding", len(_query_vector(spark, d)), F.col("vec_id") % 100 == 0, 10)
+    return found.join(e.select(F.col("vec_id").alias("id"), "label"), "id").select("query_id", F.col("id").alias("vec_id"), "label", "score")
+
+
 @query("""SELECT event_id, CAST(regexp_extract(props, '"k":\\s*(-?[0-9]+)', 1) AS BIGINT) AS k FROM events WHERE regexp_matches(props, '"k":\\s*-?[0-9]+')""")
 def json_member(spark, d):
     """A member of the JSON texts of events, read by its path."""
