@@ -7,7 +7,8 @@ which one survives k edits in a place shifted by at most k.  Distinct values
 are joined on these positional substrings, verified with ``levenshtein``, and
 those with no form are found by an anti-join.
 
-Defined results: a null value has no row; a value equal to a term of its kind
+Defined results: a null value has no row; a text that begins with a bracket
+but is no JSON array is a value as it stands; a value equal to a term of its kind
 has no row; placeholders and values with an empty key are unmatched (0); of
 several nearest forms the least id is taken; an empty reference list leaves
 everything unmatched; repeated values are matched once and joined back.
@@ -129,7 +130,7 @@ def entity_values(clauses: DataFrame) -> DataFrame:
     members = entities(clauses).where("is_object")
     return spark.sql(
         """SELECT clause_id, CAST(pos AS BIGINT) AS pos, field, CAST(item AS BIGINT) AS item, CASE WHEN field = 'relation' THEN 'relation' ELSE 'element' END AS kind, value FROM (
-             SELECT clause_id, pos, field, posexplode(CASE WHEN raw LIKE '[%' THEN from_json(raw, 'array<string>') ELSE array(raw) END) AS (item, value) FROM (
+             SELECT clause_id, pos, field, posexplode(coalesce(CASE WHEN raw LIKE '[%]' THEN from_json(concat('{{"a":', raw, '}}'), 'a array<string>').a END, array(raw))) AS (item, value) FROM (
                SELECT clause_id, pos, stack(3, 'subject', e.subject, 'object', e.object, 'relation', e.relation) AS (field, raw) FROM (
                  SELECT clause_id, pos, from_json(entity, 'subject string, object string, relation string') AS e FROM {members}))
              WHERE raw IS NOT NULL)

@@ -1,6 +1,7 @@
 """Operators of the llm subpackage against brute force on small fixtures, with their edge cases."""
 
 import itertools
+import json
 import math
 import random
 import re
@@ -182,6 +183,16 @@ def test_canonical_values(spark, data):
     assert {r["term_id"] for r in canon.canonical_entities(df, terms.limit(0)).collect()} == {0}
 
 
+def test_bracketed_values_have_rows(spark, data):
+    values = ["[door]", "[bedroom", "[bedroom]", "[1] fish pond", "[", "[]]", ["bedrom", "fish pond"], [], [None]]
+    df = spark.createDataFrame([(i, json.dumps({"object": v})) for i, v in enumerate(values)], "clause_id long, entities string")
+    got = {(r["clause_id"], r["item"]): r["value"] for r in canon.entity_values(df).collect()}
+    assert got == {(i, 0): v for i, v in enumerate(values[:6])} | {(6, 0): "bedrom", (6, 1): "fish pond"}
+    terms = spark.read.parquet(f"{data}/canon_terms.parquet")
+    ids = {(r["clause_id"], r["item"]): r["term_id"] for r in canon.canonical_entities(df, terms).collect()}
+    assert ids.keys() == got.keys() and ids[1, 0] == ids[2, 0] == ids[6, 0] == 101 and ids[3, 0] == ids[4, 0] == ids[6, 1] == 0
+
+
 # ------------------------------------------------------------------ p4
 
 
