@@ -2,31 +2,66 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}
+_open: set[str] = set()
+
+
+def _one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one is set only where the session names none."""
+    """The folder all executors share, as the session names it; only a session on one machine that names none gets its own."""
     got = spark.conf.get("spark.checkpoint.dir", None)
-    if not got:
-        jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jvm.isDefined():
-            got = jvm.get()
-        elif not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        else:
-            got = "file://" + tempfile.mkdtemp(prefix="planweave-")
-            spark.sparkContext.setCheckpointDir(got)
-    return got
+    if got:
+        return got
+    jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if jvm.isDefined():
+        return jvm.get()
+    if not _one_machine(spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="planweave-")
+    return _own[app]
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/planweave/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application has stored; results that were read from it can no longer be computed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _clear_at_end(spark: SparkSession) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            clear(spark)
+    except Exception:  # the session is gone: nothing can be deleted through it
+        pass
 
 
 def stored(df: DataFrame, name: str = "part") -> DataFrame:
-    """df written to the shared folder as Parquet and read again: lineage is cut and every executor can read it."""
+    """df written to the shared folder as Parquet and read again: lineage is cut and every executor can read it.
+
+    What an application has stored is deleted when its Python process ends, or by ``clear``.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/planweave/{name}-{uuid.uuid4().hex}"
+    folder = _folder(spark)
+    if folder not in _open:
+        _open.add(folder)
+        atexit.register(_clear_at_end, spark)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -15,13 +15,15 @@ def json_list(text: Column) -> Column:
 
 
 def with_json_text(df: DataFrame, column: str, name: str) -> DataFrame:
-    """df with the JSON text of a column: trimmed, taken out of the strings that hold it (twice at most), null if cut off.
+    """df with the JSON text of a column: trimmed, taken out of the strings that hold it, however many, null if cut off.
 
-    Each step is a column of its own, so that nothing is parsed twice.
+    Each step is a column of its own, so that nothing is parsed twice.  A string within a string needs escapes for
+    all it holds, so n strings take more than n * n characters, which bounds the steps by the text's own length.
     """
+    unwrapped = lambda t, _: F.when(t.startswith('"'), F.trim(F.get_json_object(F.concat(F.lit('{"a":'), t, F.lit("}")), "$.a"))).otherwise(t)
     df = df.withColumn(name, F.trim(F.col(column)))
-    for _ in range(2):
-        df = df.withColumn(name, F.when(F.col(name).startswith('"'), F.trim(F.get_json_object(F.concat(F.lit('{"a":'), F.col(name), F.lit("}")), "$.a"))).otherwise(F.col(name)))
+    steps = F.sequence(F.lit(0), F.sqrt(F.length(name)).cast("int") + 1)
+    df = df.withColumn(name, F.when(F.col(name).startswith('"'), F.aggregate(steps, F.col(name), unwrapped)).otherwise(F.col(name)))
     return df.withColumn(name, F.when(F.try_parse_json(name).isNotNull(), F.col(name)))
 
 

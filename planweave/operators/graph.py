@@ -2,7 +2,7 @@
 
 Nodes and edges carry a graph key (the plan), so all graphs advance together;
 each round is two equi joins on (graph, node), and lineage is cut by a written
-table in the shared folder every few rounds.
+table in the shared folder.  Rounds end when nothing changes, whatever their number.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return e.unionByName(e.select("g", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(g, node, label): label is the least node of the component.
 
     Min-label propagation with pointer jumping, so long chains take about log2 of their length in rounds.
@@ -27,18 +27,14 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
     """
     e = stored(both_ways(edges), "edges")
     state = stored(nodes.select("g", "node").distinct().withColumn("label", F.col("node")), "labels")
-    for _ in range(rounds):
+    while True:
         near = e.join(state.select("g", F.col("node").alias("b"), "label"), ["g", "b"]).groupBy("g", F.col("a").alias("node")).agg(F.min("label").alias("least"))
         step = state.join(near, ["g", "node"], "left").select("g", "node", "label", F.least("label", F.coalesce("least", "label")).alias("next"))
         jump = step.select("g", F.col("node").alias("next"), F.col("next").alias("further"))
         new = stored(step.join(jump, ["g", "next"], "left").select("g", "node", "label", F.least("next", F.coalesce("further", "next")).alias("new")), "labels")
-        done = new.where("new <> label").isEmpty()
         state = new.select("g", "node", F.col("new").alias("label"))
-        if done:
-            break
-    else:
-        raise RuntimeError(f"components are not settled after {rounds} rounds")
-    return state
+        if new.where("new <> label").isEmpty():
+            return state
 
 
 def reachable(nodes: DataFrame, edges: DataFrame, goals: DataFrame) -> DataFrame:
@@ -48,7 +44,7 @@ def reachable(nodes: DataFrame, edges: DataFrame, goals: DataFrame) -> DataFrame
     return c.join(ends, ["g", "label"], "left").select("g", "node", F.coalesce("hit", F.lit(False)).alias("reaches"))
 
 
-def steps_to(nodes: DataFrame, edges: DataFrame, goals: DataFrame, rounds: int = 200) -> DataFrame:
+def steps_to(nodes: DataFrame, edges: DataFrame, goals: DataFrame) -> DataFrame:
     """(g, node, steps, via): fewest edges to a goal and the next node on the way (least id of equal ones); nodes that reach none are left out.
 
     A breadth-first front: each round joins only the nodes met last.
@@ -56,7 +52,7 @@ def steps_to(nodes: DataFrame, edges: DataFrame, goals: DataFrame, rounds: int =
     e = stored(both_ways(edges), "edges")
     met = stored(nodes.join(goals.select("g", "node").distinct(), ["g", "node"], "left_semi").select("g", "node", F.lit(0).alias("steps"), F.lit(None).cast(dict(nodes.dtypes)["node"]).alias("via")), "met")
     front, k = met, 0
-    while k < rounds:
+    while True:
         k += 1
         new = front.select("g", F.col("node").alias("b")).join(e, ["g", "b"]).groupBy("g", F.col("a").alias("node")).agg(F.min("b").alias("via"))
         new = new.join(nodes.select("g", "node"), ["g", "node"], "left_semi").join(met.select("g", "node"), ["g", "node"], "left_anti")
@@ -66,4 +62,19 @@ def steps_to(nodes: DataFrame, edges: DataFrame, goals: DataFrame, rounds: int =
         met = met.unionByName(front)
         if k % 8 == 0:
             met = stored(met, "met")
-    raise RuntimeError(f"fronts are not empty after {rounds} rounds")
+
+
+def paths_to(nodes: DataFrame, edges: DataFrame, goals: DataFrame) -> DataFrame:
+    """(g, node, steps, path): the nodes on a way of fewest edges to a goal, both ends included; of equally short ways the one whose next node is least.
+
+    A path grows with the front that meets its first node, so each round joins the front's paths to the nodes met by it.
+    """
+    steps = stored(steps_to(nodes, edges, goals), "steps")
+    most = steps.agg(F.max("steps")).first()[0]
+    front = steps.where("steps = 0").select("g", "node", "steps", F.array("node").alias("path"))
+    done = front
+    for k in range(1, (most or 0) + 1):
+        before = front.select("g", F.col("node").alias("via"), F.col("path").alias("rest"))
+        front = stored(steps.where(F.col("steps") == k).join(before, ["g", "via"]).select("g", "node", "steps", F.concat(F.array("node"), "rest").alias("path")), "paths")
+        done = done.unionByName(front)
+    return done

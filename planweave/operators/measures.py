@@ -35,9 +35,9 @@ def reliability(mean: Column, high: Column, n: Column, overlaps: Column) -> Colu
     return F.least(F.lit(40.0), 40.0 * mean) + share + F.greatest(F.lit(0.0), 20.0 - 5.0 * overlaps) + plausible
 
 
-def moving_average(df: DataFrame, group: str, order: list[str], value: str, reach: int = 1) -> DataFrame:
+def moving_average(df: DataFrame, group: list[str], order: list[str], value: str, reach: int = 1) -> DataFrame:
     """Centred average over reach rows on either side, shrinking at the ends."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(-reach, reach)
+    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(-reach, reach)
     return df.withColumn("smooth", F.avg(value).over(w))
 
 

@@ -24,6 +24,20 @@ def in_cells(df: DataFrame, x1, y1, x2, y2, size: float) -> DataFrame:
     return out.withColumn("cy", F.explode(_cells(y1, y2, size)))
 
 
+def near_segment_cells(df: DataFrame, reach: float, size: float) -> DataFrame:
+    """df of segments (x1, y1, x2, y2) with (cx, cy), one row per grid cell that may hold a point within reach: as many as the segment is long, not as its box is large."""
+    c = F.col
+    out = df.withColumn("cx", F.explode(_cells(F.least("x1", "x2") - reach, F.greatest("x1", "x2") + reach, size)))
+    # The part of the segment that lies above the column of cells, widened by the reach.
+    a = F.greatest(F.least("x1", "x2"), c("cx") * size - reach)
+    b = F.least(F.greatest("x1", "x2"), (c("cx") + 1) * size + reach)
+    slope = (c("y2") - c("y1")) / F.when(c("x2") != c("x1"), c("x2") - c("x1"))
+    ends = [F.coalesce(c("y1") + (x - c("x1")) * slope, y) for x, y in ((a, c("y1")), (b, c("y2")))]
+    # A step of rounding more, as the ends are computed.
+    more = reach + F.abs(F.greatest(*ends)) * 1e-9 + 1e-6
+    return out.withColumn("cy", F.explode(_cells(F.least(*ends) - more, F.greatest(*ends) + more, size)))
+
+
 def at_cell(df: DataFrame, x, y, size: float) -> DataFrame:
     return df.withColumn("cx", F.floor(x / size)).withColumn("cy", F.floor(y / size))
 
@@ -36,9 +50,7 @@ def nearest_segment(points: DataFrame, segments: DataFrame, cutoff: float, cell:
     """
     cell = cell or max(4 * cutoff, 1.0)
     placed = at_cell(points.where("x is not null and y is not null"), F.col("x"), F.col("y"), cell)
-    lows = [F.least("x1", "x2") - cutoff, F.least("y1", "y2") - cutoff]
-    highs = [F.greatest("x1", "x2") + cutoff, F.greatest("y1", "y2") + cutoff]
-    s = in_cells(segments.select("plan_id", "wall_id", F.col("ord").alias("seg_ord"), "x1", "y1", "x2", "y2"), lows[0], lows[1], highs[0], highs[1], cell)
+    s = near_segment_cells(segments.select("plan_id", "wall_id", F.col("ord").alias("seg_ord"), "x1", "y1", "x2", "y2"), cutoff, cell)
     pairs = placed.join(s, ["plan_id", "cx", "cy"]).withColumn("d", G.segment_distance(*(F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")))).where(F.col("d") <= cutoff)
     best = pairs.groupBy("plan_id", "id", "ord").agg(F.min(F.struct("d", "seg_ord", "wall_id")).alias("b"))
     return points.select("plan_id", "id", "ord").join(best, ["plan_id", "id", "ord"], "left").select("plan_id", "id", "ord", F.col("b.wall_id").alias("wall_id"), F.col("b.d").alias("distance"))

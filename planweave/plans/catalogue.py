@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planweave.functions import geometry as G
@@ -356,8 +356,7 @@ def clause_lookup(spark, d):
 def moving_average_3(spark, d):
     """Centred moving average of three over the measurements of an element."""
     f = _read(spark, d, "findings").where("measured is not null and element_id is not null").select("finding_id", "plan_id", "element_id", "checked_at", "measured")
-    w = Window.partitionBy("plan_id", "element_id").orderBy("checked_at", "finding_id").rowsBetween(-1, 1)
-    return f.select("finding_id", F.avg("measured").over(w).alias("smooth"))
+    return measures.moving_average(f, ["plan_id", "element_id"], ["checked_at", "finding_id"], "measured").select("finding_id", "smooth")
 
 
 @query("""SELECT vec_id, clause_id, CAST(floor((row_number() OVER (PARTITION BY clause_id ORDER BY chunk_no, vec_id) - 1) / 2) AS BIGINT) AS chunk FROM clause_vectors WHERE clause_id IS NOT NULL""")

@@ -4,21 +4,34 @@ from __future__ import annotations
 
 import json
 import re
+import time
 import uuid
 import xml.etree.ElementTree as ET
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-CLAUSE = "mabhas_part string, article_id string, heading_fa string, text_fa string, text_en string, skip_category string, applicable_to_floor_plan boolean, applicable_occupancies array<string>, applicable_height_groups array<string>, rule_type string, entities string, _corrupt_record string"
+CLAUSE = "mabhas_part string, article_id string, heading_fa string, text_fa string, text_en string, skip_category string, applicable_occupancies array<string>, applicable_height_groups array<string>, rule_type string, entities string"
 COCO = "images array<struct<id:long,file_name:string,width:int,height:int>>, annotations array<struct<id:long,image_id:long,category_id:int,segmentation:array<array<double>>,bbox:array<double>,area:double,iscrowd:int>>, categories array<struct<id:int,name:string>>"
 
 
-def clauses(spark: SparkSession, path: str, keep_skipped: bool = False) -> DataFrame:
-    """Clauses of JSON array files with a fixed schema; unreadable records are kept apart by _corrupt_record and left out."""
-    df = spark.read.schema(CLAUSE).option("multiLine", True).option("mode", "PERMISSIVE").json(path).cache()
-    df = df.where("_corrupt_record is null").drop("_corrupt_record")
+def _absent(e: AnalysisException) -> bool:
+    return e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
+def clauses(spark: SparkSession, path: str, keep_skipped: bool = False, schema: str = CLAUSE) -> DataFrame:
+    """Clauses of JSON array files with a fixed schema, to which a caller may add members; unreadable records are left out, a missing file has none."""
+    whole = f"{schema}, _corrupt_record string"
+    try:
+        df = spark.read.schema(whole).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    except AnalysisException as e:
+        if not _absent(e):
+            raise
+        return spark.createDataFrame([], schema)
+    # All columns are asked for, else the reader does not see that a record is corrupt.
+    df = df.where(F.struct("*").isNotNull() & F.col("_corrupt_record").isNull()).drop("_corrupt_record")
     return df if keep_skipped else df.where("coalesce(skip_category, '') = ''")
 
 
@@ -121,22 +134,68 @@ def svg_polygons(drawings: DataFrame, id_col: str = "drawing_id", text: str = "s
     return spark.sql(f"SELECT d.{id_col}, p.* FROM {{d}} d, LATERAL planweave_svg_polygons(d.{text}) p", d=drawings)
 
 
-def write_version(df: DataFrame, folder: str) -> str:
-    """df written beside earlier versions; the pointer file is replaced last, so readers see a whole version."""
-    path = f"{folder}/v-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark = df.sparkSession
-    spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").json(f"{folder}/current")
-    return path
+#: Seconds after which a taken version number whose writer has not published it is free again.
+STALE_S = 300
 
 
-def read_version(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """The current version; an empty table where there is none."""
+class VersionConflict(RuntimeError):
+    """Another writer has published a version since the one this write began from."""
+
+
+def _files(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def versions(spark: SparkSession, folder: str) -> list[tuple[int, str, str]]:
+    """(number, name of its data, tag) of each published version, the last one last; none where the folder is missing.
+
+    A version is published by one rename of a file that did not exist before, whose name says all there is to know.
+    Only a missing folder counts as none: other errors of the file system are raised.
+    """
+    fs, path = _files(spark, f"{folder}/log")
     try:
-        path = spark.read.schema("path string").json(f"{folder}/current").first()["path"]
-    except Exception:
+        names = [s.getPath().getName() for s in fs.listStatus(path)]
+    except Exception as e:
+        if "FileNotFoundException" in str(e):
+            return []
+        raise
+    found = [n.split("~") for n in names if n.endswith("~done")]
+    return sorted((int(n[0]), n[1], n[2]) for n in found)
+
+
+def write_version(df: DataFrame, folder: str, tag: str = "", after: int | None = None) -> int:
+    """df written beside earlier versions and published under the next number, which is returned.
+
+    Readers see the version before or this one, never none.  after: the number the write began from; if another
+    writer has published since, nothing is published and VersionConflict is raised.  tag: a name of the write, such
+    as a batch id, by which a repeated write can be told; letters, digits, - and _ only.
+    """
+    if not re.fullmatch(r"[\w-]*", tag):
+        raise ValueError("a tag has letters, digits, - and _ only")
+    spark, data = df.sparkSession, f"v-{uuid.uuid4().hex}"
+    last = max((v[0] for v in versions(spark, folder)), default=0) if after is None else after
+    df.write.parquet(f"{folder}/{data}")
+    fs, log = _files(spark, f"{folder}/log")
+    fs.mkdirs(log)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    # The number is taken by creating a file that must not exist yet; the rename, at once after it, says what it holds.
+    claim = hadoop.Path(f"{folder}/log/{last + 1}~claim")
+    if fs.exists(claim) and time.time() * 1000 - fs.getFileStatus(claim).getModificationTime() > STALE_S * 1000:
+        fs.delete(claim, False)
+    if not fs.createNewFile(claim) or any(v[0] > last for v in versions(spark, folder)):
+        raise VersionConflict(f"version {last + 1} of {folder} is taken")
+    if not fs.rename(claim, hadoop.Path(f"{folder}/log/{last + 1}~{data}~{tag}~done")):
+        raise VersionConflict(f"version {last + 1} of {folder} could not be published")
+    return last + 1
+
+
+def read_version(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The last published version; an empty table where there is none. A version that cannot be read raises."""
+    found = versions(spark, folder)
+    if not found:
         return spark.createDataFrame([], schema)
-    return spark.read.parquet(path)
+    return spark.read.parquet(f"{folder}/{found[-1][1]}")
 
 
 def write_coco(images: DataFrame, annotations: DataFrame, categories: list[tuple[int, str]], path: str) -> None:

@@ -87,10 +87,11 @@ def test_quantities(spark):
         (7, None, None, None),
         (8, json.dumps(json.dumps({"items": [{"value": 2, "unit": "mm"}]})), None, None),
         (9, json.dumps({"value": None, "unit": "mm"}), None, None),
+        (10, json.dumps(json.dumps(json.dumps(json.dumps({"value": 7, "unit": "mm"})))), None, None),
     ]
     df = spark.createDataFrame(rows, "clause_id long, entities string, text_en string, text_fa string").withColumn("pos", F.lit("clash"))
     got = {(r["rec_id"], r["pos"], r["what"], r["amount"]) for r in quantities.clause_quantities(df).collect()}
-    assert got == {(1, 0, "value", 1925), (2, 0, "lo", 1000), (2, 0, "hi", 2500), (2, 3, "lo", 914), (2, 3, "hi", 1219), (3, 0, "value", 350), (8, 0, "value", 2)}
+    assert got == {(1, 0, "value", 1925), (2, 0, "lo", 1000), (2, 0, "hi", 2500), (2, 3, "lo", 914), (2, 3, "hi", 1219), (3, 0, "value", 350), (8, 0, "value", 2), (10, 0, "value", 7)}
     assert quantities.clause_quantities(df.limit(0)).count() == 0
     f = spark.createDataFrame(
         [(1, 68.44, (3069916.0, None), None, "measured ۶۸.۴۴ m^2, required ۳۰۶۹۹۱۶ mm²"), (2, 5.0, None, "dB", "5 m"), (3, None, (1.0, 2.0), "ft", None), (4, 2.0, None, "?", "Room_2: found 2M2"), (5, 3.0, (3.0, None), "", "Room_1: 3 mm demanded, 3 m found"), (6, 7.0, None, None, None)],
@@ -157,6 +158,25 @@ def test_nearest_ties_and_reach(spark):
     assert got == {"a": ("w1", 3.0), "b": (None, None), "c": (None, None), "d": (None, None)}
 
 
+def test_long_slanting_segments_take_few_cells(spark):
+    rng = random.Random(4)
+    segs = [("P", f"w{i}", i, *[rng.uniform(0, 1e5) for _ in range(4)]) for i in range(6)] + [("P", "up", 6, 500.0, 0.0, 500.0, 9e4), ("P", "dot", 7, 700.0, 700.0, 700.0, 700.0)]
+    pts = [("P", f"p{i}", i, rng.uniform(-100, 1e5), rng.uniform(-100, 1e5)) for i in range(200)]
+    pts += [("P", f"q{i}", 1000 + i, s[3] + t * (s[5] - s[3]) + rng.uniform(-40, 40), s[4] + t * (s[6] - s[4]) + rng.uniform(-40, 40)) for i, s in enumerate(segs * 20) for t in [rng.random()]]
+    p = spark.createDataFrame(pts, "plan_id string, id string, ord int, x double, y double")
+    s = spark.createDataFrame(segs, "plan_id string, wall_id string, ord int, x1 double, y1 double, x2 double, y2 double")
+    assert spatial.near_segment_cells(s, 60.0, 100.0).count() < 8 * 5000
+
+    def far(x, y, x1, y1, x2, y2):
+        n = (x2 - x1) ** 2 + (y2 - y1) ** 2
+        t = max(0.0, min(1.0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / n)) if n else 0.0
+        return math.hypot(x - x1 - t * (x2 - x1), y - y1 - t * (y2 - y1))
+
+    want = {a[1]: min((far(*a[3:], *b[3:]), b[2], b[1]) for b in segs) for a in pts}
+    got = {r["id"]: r["wall_id"] for r in spatial.nearest_segment(p, s, 60.0, 100.0).collect()}
+    assert got == {k: v[2] if v[0] <= 60 else None for k, v in want.items()}
+
+
 def _apart(x, y, ring):
     """Distance of a point from a rectangle given by its corners."""
     xs, ys = [p[0] for p in ring], [p[1] for p in ring]
@@ -208,6 +228,8 @@ def test_graph(spark):
     assert all(c[1, n] == 0 for n in range(30)) and c[1, 34] == 33 and c[1, 39] == 39 and c[2, 1] == 0 and c[2, 2] == 2
     s = {(r["g"], r["node"]): r["steps"] for r in graph.steps_to(nodes, edges, nodes.where("node = 4 and g = 1")).collect()}
     assert s[1, 4] == 0 and s[1, 0] == 4 and s[1, 29] == 25 and (1, 31) not in s and (2, 4) not in s
+    p = {(r["g"], r["node"]): r["path"] for r in graph.paths_to(nodes, edges, nodes.where("node = 4 and g = 1")).collect()}
+    assert p[1, 4] == [4] and p[1, 1] == [1, 2, 3, 4] and p[1, 29] == list(range(29, 3, -1)) and p.keys() == s.keys()
 
 
 def test_greedy(spark):
@@ -267,10 +289,44 @@ def test_files(spark, tmp_path):
     got = [(r["drawing_id"], r["label"], len(r["points"])) for r in files.svg_polygons(df).orderBy("place").collect()]
     assert got == [(1, "Wall", 3), (1, "Wall", 3)]
     folder = str(tmp_path / "v")
+    assert files.clauses(spark, str(tmp_path / "missing.json")).count() == 0
+    (tmp_path / "bad.json").write_text('[{"article_id": "1"}, {"article_id": ')
+    assert files.clauses(spark, str(tmp_path / "bad.json")).count() == 0
+    (tmp_path / "more.json").write_text('[{"article_id": "1", "flag": true}]')
+    assert files.clauses(spark, str(tmp_path / "more.json"), schema=files.CLAUSE + ", flag boolean").first()["flag"] is True
     assert files.read_version(spark, folder, "k int").count() == 0
     files.write_version(spark.range(3), folder)
-    files.write_version(spark.range(5), folder)
+    assert files.write_version(spark.range(5), folder, "second") == 2
     assert files.read_version(spark, folder, "id long").count() == 5
+    with pytest.raises(files.VersionConflict):
+        files.write_version(spark.range(7), folder, after=1)
+    assert files.read_version(spark, folder, "id long").count() == 5 and [v[2] for v in files.versions(spark, folder)] == ["", "second"]
+
+
+def test_state_survives_a_failing_read(spark, tmp_path):
+    import shutil
+
+    from planweave.sources import files
+    from planweave.streaming import findings as S
+
+    schema, folder, src = "k int, at int, v string", str(tmp_path / "state"), str(tmp_path / "in")
+    run = lambda: S.keep_latest(S.read_stream(spark, src, schema, 1), folder, str(tmp_path / "cp"), ["k"], ["at"]).awaitTermination()
+    spark.createDataFrame([(1, 1, "a"), (2, 1, "a")], schema).coalesce(1).write.parquet(src)
+    run()
+    data = f"{folder}/{files.versions(spark, folder)[-1][1]}"
+    shutil.move(data, data + "-gone")
+    spark.createDataFrame([(2, 2, "b"), (3, 1, "b"), (2, 0, "old")], schema).coalesce(1).write.mode("append").parquet(src)
+    with pytest.raises(Exception):
+        run()
+    assert len(files.versions(spark, folder)) == 1
+    shutil.move(data + "-gone", data)
+    run()
+    assert sorted(map(tuple, files.read_version(spark, folder, schema).collect())) == [(1, 1, "a"), (2, 2, "b"), (3, 1, "b")]
+    # A batch whose commit was lost comes again and changes nothing.
+    for name in ("1", ".1.crc"):
+        (tmp_path / "cp" / "commits" / name).unlink()
+    run()
+    assert len(files.versions(spark, folder)) == 2
 
 
 def test_streams(spark, data, tmp_path):
