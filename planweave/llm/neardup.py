@@ -311,11 +311,13 @@ def index(plan: Plan, el: np.ndarray, off: np.ndarray, n: np.ndarray):
     row = np.repeat(np.arange(len(n)), np.diff(off))
     reach = np.ceil(n * plan.t - 1e-9).astype(np.int64)
     out = []
-    for back in range(0, 3):
+    for back in range(len(plan.lows)):
         band = band_of - back
-        ok = band >= 0
         low = plan.lows[np.maximum(band, 0)]
         high = np.where(band + 1 < len(plan.lows), plan.lows[np.minimum(np.maximum(band, 0) + 1, len(plan.lows) - 1)], np.iinfo(np.int64).max)
+        ok = (band >= 0) & (high > reach)
+        if not ok.any():
+            break
         # A partner's size may be kept rounded down by up to one step.
         a = np.searchsorted(plan.sizes, least_kept(np.maximum(reach, low)))
         b = np.searchsorted(plan.sizes, np.minimum(n + 1, high))
@@ -348,7 +350,7 @@ def _salted(rows, hashes, least, ids, every: bool):
         return rows, np.where(which > 0, mix(hashes + which.astype(np.uint64) * _M1), hashes)
 
 
-def _packed(plan: Plan, probe, indexed, ids, n, bits, hits):
+def _packed(plan: Plan, probe, indexed, field, ids, n, bits, hits):
     """A blob per bucket: what is known of each text once, then its probes and its index rows.
 
     A row is 24 bits of hash besides the bucket; chance hits fall to the parities, the count and verification.
@@ -357,7 +359,7 @@ def _packed(plan: Plan, probe, indexed, ids, n, bits, hits):
     for b, p, h, q, h2 in by_bucket(rows[:2], rows[2:], plan.buckets, len(n)):
         who, at = np.unique(np.concatenate([p, q]), return_inverse=True)
         probes_, indexes = np.bincount(at[: len(p)], minlength=len(who)), np.bincount(at[len(p) :], minlength=len(who))
-        yield b, pack(ids[who], n[who], probes_, indexes, hits[who], h, h2, *(x[who].view(np.int64) for x in bits))
+        yield b, pack(field[who], ids[who], n[who], probes_, indexes, hits[who], h, h2, *(x[who].view(np.int64) for x in bits))
 
 
 def by_bucket(probe, indexed, buckets: int, total: int):
@@ -427,8 +429,7 @@ def signature_batches(shipped, fallback=None):
             ids = table.column(1).to_numpy()
             n = table.column(2).to_numpy().astype(np.int64)
             el, off = _read_blobs(table.column(3), np.uint32)
-            # Field and id in one number; elements of the fields differ by hash.
-            ids = ids.astype(np.int64) * 2 + field
+            ids = ids.astype(np.int64)
             none = np.zeros(len(n), np.int64)
             bits = parities(el, off)
             buckets, blobs = [], []
@@ -445,7 +446,7 @@ def signature_batches(shipped, fallback=None):
                 p = np.flatnonzero(lacking[row] & (rank < (lost(n, plan.t) + 1)[row]))
                 q = np.flatnonzero(needed[el & np.uint32(BINS - 1)])
                 probe, indexed, hits = (row[p], _single_hash(el[p]), df[p]), (row[q], _single_hash(el[q]), df[q]), none + 1
-            for bucket, blob in _packed(plan, probe, indexed, ids, n, bits, hits):
+            for bucket, blob in _packed(plan, probe, indexed, field, ids, n, bits, hits):
                 buckets.append(bucket)
                 blobs.append(blob)
             yield pa.record_batch([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
@@ -502,12 +503,12 @@ def match_batches(t: float, parts: int, block: int = 500_000):
             yield from bucket_pairs(waiting)
 
     def bucket_pairs(blobs):
-        got = [[] for _ in range(9)]
+        got = [[] for _ in range(10)]
         for blob in blobs:
-            types = (np.int64, np.int32, np.int32, np.int32, np.int32, np.uint32, np.uint32, np.uint64, np.uint64)
+            types = (np.int32, np.int64, np.int32, np.int32, np.int32, np.int32, np.uint32, np.uint32, np.uint64, np.uint64)
             for column, x, kind in zip(got, unpack(blob), types):
                 column.append(x.astype(kind))
-        xi, xn, xc, yc, xh, xs, ys, xp, xq = (np.concatenate(c) for c in got)
+        fields, xi, xn, xc, yc, xh, xs, ys, xp, xq = (np.concatenate(c) for c in got)
         if not len(xs) or not len(ys):
             return
         yi, yn, yp, yq = xi, xn, xp, xq
@@ -531,7 +532,7 @@ def match_batches(t: float, parts: int, block: int = 500_000):
                     w = np.zeros(len(i), np.int64)
                 x, y = xr[at:to][w], yr[i]
                 keep = (yn[y] > xn[x]) | ((yn[y] == xn[x]) & (yi[y] > xi[x]))
-                keep &= (xn[x] >= yn[y] * t - 1e-9) & ((xi[x] & 1) == (yi[y] & 1))
+                keep &= (xn[x] >= yn[y] * t - 1e-9) & (fields[x] == fields[y])
                 x, y = x[keep], y[keep]
                 both = xn[x] + yn[y]
                 differ = np.bitwise_count(xp[x] ^ yp[y]).astype(np.int32) + np.bitwise_count(xq[x] ^ yq[y])
@@ -539,38 +540,38 @@ def match_batches(t: float, parts: int, block: int = 500_000):
                 x, y = x[keep], y[keep]
                 if not len(x):
                     continue
-                xid, yid, need = xi[x], yi[y], xh[x]
+                field, xid, yid, need = fields[x], xi[x], yi[y], xh[x]
                 with np.errstate(over="ignore"):
                     part = (mix(xid.astype(np.uint64) * _M1 + yid.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-                o = np.lexsort((yid, xid, part))
-                part, xid, yid, need = part[o], xid[o], yid[o], need[o]
-                cut = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
-                yield pa.record_batch(
-                    [
-                        pa.array(part[cut[:-1]].astype(np.int32)),
-                        pa.array([pair_blob(xid[p:q], yid[p:q], need[p:q]) for p, q in zip(cut[:-1], cut[1:])], pa.binary()),
-                    ],
-                    names=["part", "blob"],
-                )
+                o = np.lexsort((yid, xid, field, part))
+                yield pair_batch(part[o], field[o], xid[o], yid[o], need[o])
             at = to
 
     return over
 
 
-def pair_blob(x: np.ndarray, y: np.ndarray, need: np.ndarray) -> bytes:
-    """Pairs ordered by (x, y), each once with its hits."""
+def pair_batch(part: np.ndarray, field: np.ndarray, x: np.ndarray, y: np.ndarray, need: np.ndarray) -> pa.RecordBatch:
+    """Pairs ordered by (part, field, x, y) as one blob per part."""
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+    blobs = [pair_blob(field[p:q], x[p:q], y[p:q], need[p:q]) for p, q in zip(cut[:-1], cut[1:])]
+    return pa.record_batch([pa.array(part[cut[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "blob"])
+
+
+def pair_blob(field: np.ndarray, x: np.ndarray, y: np.ndarray, need: np.ndarray) -> bytes:
+    """Pairs ordered by (field, x, y), each once with its hits."""
     new = np.ones(len(x), bool)
-    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    new[1:] = (field[1:] != field[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
     at = np.flatnonzero(new)
     hits = np.diff(np.concatenate([at, [len(x)]]))
-    x, y, need = x[at], y[at], need[at]
-    first = np.concatenate([[0], np.flatnonzero(np.diff(x)) + 1])
-    return pack(np.diff(x[first], prepend=0), np.diff(np.concatenate([first, [len(x)]])), need[first], y, hits)
+    field, x, y, need = field[at], x[at], y[at], need[at]
+    first = np.concatenate([[0], np.flatnonzero((x[1:] != x[:-1]) | (field[1:] != field[:-1])) + 1])
+    # Differences may wrap around; their sums wrap back.
+    return pack(field[first], np.diff(x[first], prepend=0), np.diff(np.concatenate([first, [len(x)]])), need[first], y, hits)
 
 
 def pairs_of(blob: bytes) -> np.ndarray:
-    dx, runs_, need, y, hits = unpack(blob)
-    return np.stack([np.repeat(np.cumsum(dx), runs_), y, np.repeat(need, runs_), hits], 1)
+    field, dx, runs_, need, y, hits = unpack(blob)
+    return np.stack([np.repeat(field, runs_), np.repeat(np.cumsum(dx), runs_), y, np.repeat(need, runs_), hits], 1)
 
 
 def counted_batches(batches):
@@ -579,16 +580,16 @@ def counted_batches(batches):
 
     def flush():
         rows = np.concatenate([pairs_of(b) for b in waiting])
-        o = np.lexsort((rows[:, 1], rows[:, 0]))
+        o = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))
         rows = rows[o]
         new = np.ones(len(rows), bool)
-        new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(1)
+        new[1:] = (rows[1:, :3] != rows[:-1, :3]).any(1)
         at = np.flatnonzero(new)
-        count = np.add.reduceat(rows[:, 3], at)
+        count = np.add.reduceat(rows[:, 4], at)
         # The fallback has its own need of one hit: the least need counts.
-        need = np.minimum.reduceat(rows[:, 2], at)
+        need = np.minimum.reduceat(rows[:, 3], at)
         keep = at[count >= need]
-        return pa.record_batch([pa.array((rows[keep, 0] & 1).astype(np.int32)), pa.array(rows[keep, 0] >> 1), pa.array(rows[keep, 1] >> 1)], names=["field", "x", "y"])
+        return pa.record_batch([pa.array(rows[keep, 0].astype(np.int32)), pa.array(rows[keep, 1]), pa.array(rows[keep, 2])], names=["field", "x", "y"])
 
     for batch in batches:
         part = batch.column(0).to_numpy(zero_copy_only=False)
@@ -634,14 +635,14 @@ def _bins_of(batches):
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_cols: list[str], threshold: float = 0.8, run: int = 5, extra: int = 0):
-    """Links between texts whose word runs are similar, per text column (at most two).
+    """Links between texts whose word runs are similar, per text column.
 
     Returns (classes, pairs): classes has (field, id, rep), one row for each non-null text, rep being the class of
     equal consistent forms; pairs has (field, rep_a, rep_b, similarity) for each pair of different classes with
     a Jaccard similarity of at least the threshold.  Exact: no link is lost, whatever the frequencies.
     """
-    if not 1 <= len(text_cols) <= 2:
-        raise ValueError("one or two text columns")
+    if not text_cols or not 0 < threshold <= 1:
+        raise ValueError("text columns and a threshold above 0 are needed")
     spark = df.sparkSession
     parts = partitions(spark)
     texts = F.array(*[F.struct(F.lit(k).alias("field"), F.col(c).alias("text")) for k, c in enumerate(text_cols)])
@@ -696,6 +697,18 @@ def near_duplicates(df: DataFrame, id_col: str, text_cols: list[str], threshold:
     return classes, links.select("field", F.least("x", "y").alias("rep_a"), F.greatest("x", "y").alias("rep_b"), "similarity")
 
 
+def class_links(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(field, id, rep, links): each text once, with its class and the number of texts of the field it is linked to.
+
+    Of a size linear in the texts: links are counted from class sizes and pairs of representatives.
+    """
+    size = classes.groupBy("field", "rep").agg(F.count("*").alias("n"))
+    both = pairs.select("field", F.explode(F.array(F.struct(F.col("rep_a").alias("rep"), F.col("rep_b").alias("other")), F.struct(F.col("rep_b").alias("rep"), F.col("rep_a").alias("other")))).alias("p")).select("field", "p.*")
+    far = both.join(size.withColumnRenamed("rep", "other"), ["field", "other"]).groupBy("field", "rep").agg(F.sum("n").alias("far"))
+    total = size.join(far, ["field", "rep"], "left").select("field", "rep", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("links"))
+    return classes.join(total, ["field", "rep"]).select("field", "id", "rep", "links")
+
+
 def expanded(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(field, a, b) of all linked rows, a < b: members of linked classes and of one class."""
     some = classes.groupBy("field", "rep").agg(F.count("*").alias("n")).where("n > 1")

@@ -117,6 +117,37 @@ def test_links_are_exact(spark, t, run, seed):
     assert sorted((r["a"], r["b"]) for r in got) == sorted(links(rows, t, run))
 
 
+BIG = [-(2**63), 2**63 - 1, 2**62 + 5, -(2**62) - 3, 2**62, 7]
+
+
+def test_ids_of_the_whole_range(spark):
+    base = [f"w{i}" for i in range(40)]
+    rows = [(k, " ".join([*base, f"x{n}"]), " ".join([f"y{n}", *base[5:]]), "same") for n, k in enumerate(BIG)]
+    df = spark.createDataFrame(rows, "id long, a string, b string, c string")
+    pairs = {(min(x, y), max(x, y)) for x, y in itertools.combinations(BIG, 2)}
+    got = neardup.expanded(*neardup.near_duplicates(df, "id", ["a", "b", "c"], threshold=0.8, run=5)).collect()
+    assert sorted((r["field"], r["a"], r["b"]) for r in got) == sorted((f, *p) for f in range(3) for p in pairs)
+    links_ = neardup.class_links(*neardup.near_duplicates(df, "id", ["a", "c"], threshold=0.8, run=5)).collect()
+    assert sorted((r["field"], r["id"], r["links"]) for r in links_) == sorted((f, k, 5) for f in range(2) for k in BIG)
+    v = [[1.0, 0.01 * n] + [0.0] * 126 for n in range(len(BIG))]
+    vectors = spark.createDataFrame(list(zip(BIG, v)), "vec_id long, embedding array<float>")
+    assert {tuple(r) for r in knn.similar_pairs(vectors, "vec_id", "embedding").collect()} == pairs
+
+
+@pytest.mark.parametrize("t", [0.05, 0.15, 0.6])
+def test_sizes_astride_bands_whatever_else_is_in_the_table(spark, t):
+    # Other texts move the limits of the bands.
+    rng = random.Random(8)
+    other = [" ".join(f"o{rng.randrange(10**6)}" for _ in range(rng.choice([3, 9, 10, 30, 38, 120, 400]))) for _ in range(260)]
+    near = []
+    for k, n in enumerate([40, 150, 608, 5000, 8330, 20000]):
+        y = [f"b{k}x{j}" for j in range(n)]
+        near += [" ".join(y), " ".join(y[: math.ceil(n * t) + 1])]
+    df = spark.createDataFrame(list(enumerate(near + other)), "id long, text string")
+    _, pairs = neardup.near_duplicates(df, "id", ["text"], threshold=t, run=1)
+    assert sorted((r["rep_a"], r["rep_b"]) for r in pairs.collect()) == [(2 * k, 2 * k + 1) for k in range(6)]
+
+
 def test_links_with_skew_and_long_texts(spark):
     rng = random.Random(9)
     long = " ".join(f"v{rng.randrange(5000)}" for _ in range(30000))
