@@ -16,6 +16,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 ZWNJ = 0x200C
 _SIZE = 0x110000
@@ -28,6 +29,10 @@ LOOKALIKES = {
     "Х": "X", "У": "Y", "І": "I", "Ј": "J", "Ѕ": "S", "Ү": "Y", "Ԁ": "D", "Ԛ": "Q", "Ԝ": "W",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s",
     "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ɡ": "g", "ɑ": "a", "ı": "ı",
+    "α": "a", "ι": "i", "ρ": "p", "υ": "u", "γ": "y", "Ϲ": "C", "Ϳ": "J", "ѵ": "v", "ӏ": "l", "Ӏ": "l", "Ь": "b", "ҽ": "e", "ү": "y",
+    "Տ": "S", "Ս": "U", "Օ": "O", "Լ": "L", "ո": "n", "ս": "u", "օ": "o", "հ": "h", "ց": "g", "զ": "q", "ա": "w", "յ": "j",
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P",
+    "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
 }
 # Arabic and Persian forms of one letter.
 ARABIC_FORMS = {
@@ -171,6 +176,15 @@ def code_points(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return cps, starts[off - off[0]]
 
 
+def slices(text: pa.Array, size: int = 1 << 18):
+    """(low, high) ranges of rows of about so many bytes: what is worked on then stays in a processor's cache, whatever the batch."""
+    n = len(text)
+    sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16
+    block = (np.cumsum(sizes) - sizes) // size
+    cut = np.concatenate([np.flatnonzero(np.diff(block, prepend=-1)), [n]])
+    return list(zip(cut[:-1].tolist(), cut[1:].tolist()))
+
+
 def _keep(cps: np.ndarray, off: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if keep.all():
         return cps, off
@@ -272,24 +286,22 @@ def to_arrow(cps: np.ndarray, off: np.ndarray, valid: pa.Array | None = None) ->
     data = cps.astype("<i4").tobytes().decode("utf-32-le", "replace").encode("utf-8")
     out = pa.Array.from_buffers(pa.large_string(), len(off) - 1, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(data)])
     if valid is not None and not all_true(valid):
-        import pyarrow.compute as pc
-
         out = pc.if_else(valid, out, pa.scalar(None, pa.large_string()))
     return out
 
 
 def all_true(valid: pa.Array) -> bool:
-    import pyarrow.compute as pc
-
     return bool(pc.all(valid).as_py() in (True, None))
 
 
 def consistent_array(arr: pa.Array) -> pa.Array:
     """The consistent form of every string; null stays null."""
-    valid = arr.is_valid()
-    if isinstance(valid, pa.ChunkedArray):
-        valid = valid.combine_chunks()
-    return to_arrow(*consistent_points(arr), valid)
+    if isinstance(arr, pa.ChunkedArray):
+        arr = arr.combine_chunks()
+    if not len(arr):
+        return pa.array([], pa.large_string())
+    parts = [arr.slice(lo, hi - lo) for lo, hi in slices(arr)]
+    return pa.concat_arrays([to_arrow(*consistent_points(p), p.is_valid()) for p in parts])
 
 
 # ---------------------------------------------------------------- words

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planweave.functions.shared import partitions, stored
-from planweave.llm.consistent import _M1, consistent_points, mix, runs, word_hashes
+from planweave.llm.consistent import _M1, consistent_points, mix, runs, slices, word_hashes
 
 BINS = 1 << 20
 TINY = 8
@@ -62,6 +62,14 @@ def _unique_rows(values: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nd
     return values[keep], np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=n))])
 
 
+def in_order(key: np.ndarray) -> np.ndarray:
+    """Order of unsigned keys, stable; keys short enough are sorted with their places in one number, which is faster."""
+    bits = max(1, len(key).bit_length())
+    if len(key) and int(key.max()).bit_length() + bits <= 64:
+        return (np.sort((key.astype(np.uint64) << np.uint64(bits)) | np.arange(len(key), dtype=np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+    return np.argsort(key, kind="stable")
+
+
 def _blob_array(flat: np.ndarray, off: np.ndarray) -> pa.Array:
     width = flat.dtype.itemsize
     return pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer((off * width).astype(np.int64).tobytes()), pa.py_buffer(flat.tobytes())])
@@ -82,29 +90,36 @@ def _read_blobs(arr: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
 def element_batches(run: int):
     """Batches of (field, id, text) to (field, id, h1, h2, n, elements): distinct hashed runs of words."""
 
+    def elements(text, f):
+        """Two digests of the words of each text, the number of its distinct runs, and these."""
+        words, rows = word_hashes(*consistent_points(text))
+        n_words = np.diff(rows)
+        with np.errstate(over="ignore"):
+            at = np.arange(len(words)) - np.repeat(rows[:-1], n_words)
+            salted = mix(words + at.astype(np.uint64) * _M1)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(salted, dtype=np.uint64)])
+            h1 = mix(sums[rows[1:]] - sums[rows[:-1]] + n_words.astype(np.uint64))
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(salted ^ _M1), dtype=np.uint64)])
+            h2 = mix(sums[rows[1:]] - sums[rows[:-1]])
+        h, ends = runs(words, rows, run)
+        h = (mix(h + np.repeat(f, np.diff(ends)) * _M1) >> np.uint64(32)).astype(np.uint32)
+        flat, ends = _unique_rows(h, ends)
+        return h1, h2, np.diff(ends).astype(np.int32), flat
+
     def over(batches):
         for batch in batches:
+            if not batch.num_rows:
+                continue
             field, ids, text = batch.column(0), batch.column(1), batch.column(2)
-            cps, off = consistent_points(text)
-            words, rows = word_hashes(cps, off)
-            n_words = np.diff(rows)
-            with np.errstate(over="ignore"):
-                at = np.arange(len(words)) - np.repeat(rows[:-1], n_words)
-                salted = mix(words + at.astype(np.uint64) * _M1)
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(salted, dtype=np.uint64)])
-                h1 = mix(sums[rows[1:]] - sums[rows[:-1]] + n_words.astype(np.uint64))
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(salted ^ _M1), dtype=np.uint64)])
-                h2 = mix(sums[rows[1:]] - sums[rows[:-1]])
-            h, ends = runs(words, rows, run)
             f = np.asarray(field.to_numpy(zero_copy_only=False)).astype(np.uint64)
-            h = (mix(h + np.repeat(f, np.diff(ends)) * _M1) >> np.uint64(32)).astype(np.uint32)
-            flat, ends = _unique_rows(h, ends)
+            parts = [elements(text.slice(lo, hi - lo), f[lo:hi]) for lo, hi in slices(text)]
+            h1, h2, n, flat = (np.concatenate([p[k] for p in parts]) for k in range(4))
             # Of copies within the batch only the first carries its elements.
-            key = np.stack([h1 ^ f, h2], 1)
-            _, first = np.unique(key, axis=0, return_index=True)
+            o = np.lexsort((h2, h1 ^ f))
+            first = np.ones(len(batch), bool)
+            first[1:] = ((h1 ^ f)[o[1:]] != (h1 ^ f)[o[:-1]]) | (h2[o[1:]] != h2[o[:-1]])
             carry = np.zeros(len(batch), bool)
-            carry[first] = True
-            n = np.diff(ends).astype(np.int32)
+            carry[o[first]] = True
             flat = flat[np.repeat(carry, n)]
             off2 = np.concatenate([[0], np.cumsum(np.where(carry, n, 0))])
             yield pa.record_batch(
@@ -252,7 +267,7 @@ def probes(plan: Plan, el: np.ndarray, off: np.ndarray, n: np.ndarray):
     want = np.where(lacking, 0, need + plan.extra)
     # Costs to about 3 per cent, in one packed number with the row.
     scaled = np.clip(np.log2(np.maximum(u_cost, 1e-6)) * 24 + 500, 0, 2047).astype(np.uint64) + (u_class.astype(np.uint64) << np.uint64(11))
-    o = np.argsort((u_row.astype(np.uint64) << np.uint64(12)) | scaled)
+    o = in_order((u_row.astype(np.uint64) << np.uint64(12)) | scaled)
     start = np.concatenate([[0], np.cumsum(have)])[:-1]
     rank = np.empty(len(o), np.int64)
     rank[o] = np.arange(len(o)) - start[u_row[o]]
@@ -367,7 +382,7 @@ def by_bucket(probe, indexed, buckets: int, total: int):
     sides = []
     for r, h in (probe, indexed):
         bucket = (h >> np.uint64(32)) % np.uint64(buckets)
-        o = np.argsort(bucket * np.uint64(max(1, total)) + r.astype(np.uint64))
+        o = in_order(bucket * np.uint64(max(1, total)) + r.astype(np.uint64))
         sides.append((bucket[o].astype(np.int64), r[o], h[o] & np.uint64(SIG_MASK)))
     (b1, r1, h1), (b2, r2, h2) = sides
     present = np.union1d(b1, b2)
@@ -514,9 +529,9 @@ def match_batches(t: float, parts: int, block: int = 500_000):
         yi, yn, yp, yq = xi, xn, xp, xq
         del got
         xr, yr = np.repeat(np.arange(len(xi), dtype=np.int32), xc), np.repeat(np.arange(len(xi), dtype=np.int32), yc)
-        o = np.argsort(ys, kind="stable")
+        o = in_order(ys)
         ys, yr = ys[o], yr[o]
-        o = np.argsort(xs, kind="stable")
+        o = in_order(xs)
         xs, xr = xs[o], xr[o]
         a, b = np.searchsorted(ys, xs, "left"), np.searchsorted(ys, xs, "right")
         ends = np.cumsum(b - a)

@@ -32,6 +32,7 @@ def consistent(*texts):
         ("Ｍ-4", "M‐4"), ("كتاب", "کتاب"), ("ى", "ی"), ("٤٥", "۴۵"), ("ﺑﺎ", "با"), ("a b", "a b"), ("a​b", "ab"), ("‎a", "a"),
         ("م‌‌ی", "م‌ی"), ("آ", "آ"), ("أ", "أ"), ("ئ", "یٔ"), ("é", "é"), ("Μ", "M"), ("  a \t b ", "a b"),
         ("أً", "أً"), ("a‌ b", "a b"), ("ۀ", "هٔ"), ("x­y", "xy"), ("م​‌ی", "م‌​ی"),
+        ("αbc", "abc"), ("Տօ", "So"), ("ᎪᏴ", "AB"),
     ],
 )
 def test_same_look(a, b):
@@ -52,6 +53,11 @@ def test_batch_independence_and_idempotence(texts):
     assert [t is None for t in texts] == [t is None for t in got]
 
 
+def test_slices_change_nothing():
+    texts = ["كتاب  ", None, "", "ＡＢ‌c" * 90000, "x"] * 7
+    assert consistent(*texts) == [consistent(t)[0] for t in texts]
+
+
 def test_same_look_pairs(spark):
     rows = [(1, "كتاب", None), (2, "کتاب", "x"), (3, "کتاب", "x"), (4, "", "​"), (5, "​", None), (6, None, None), (7, "می‌شود" * 20000, None), (8, "مي‌شود" * 20000, None)]
     df = spark.createDataFrame(rows, "clause_id long, text_fa string, heading_fa string").withColumn("field", F.lit(0)).withColumn("id", F.lit(0))
