@@ -57,6 +57,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(_read(spark, d, "documents"), _read(spark, d, "eval_items"))
 
 
+def p7_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the longest exact run and the words of the best overlap that tolerates substitutions, from eight words on."""
+    from planweave.llm.leak import SPAN, overlaps
+
+    return overlaps(_read(spark, d, "documents"), _read(spark, d, "eval_items")).where(F.col("tolerant_words") >= SPAN)
+
+
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
     """How often each document is used, so that each source makes up its share of the tokens."""
     from planweave.llm.mixture import mixture

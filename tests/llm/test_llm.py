@@ -344,13 +344,35 @@ def test_leaks_against_brute_force(spark):
 
     want = {(i, j) for i, x in enumerate(docs) for j, y in enumerate(item) if x and y and holds(x, y)}
     assert {tuple(r) for r in leak.leaks(d, it).collect()} == want
-    assert {tuple(r) for r in leak.leaks(d, it, limit=0).collect()} == want
     assert leak.leaks(d.limit(0), it).count() == 0 and leak.leaks(d, it.limit(0)).count() == 0
     one = spark.createDataFrame([(1, "a b c d e f X h i j k l")], "doc_id long, text string")
     got = leak.overlaps(one, spark.createDataFrame([(2, "a b c d e f g h i j k l")], "item_id long, text string")).first()
     assert (got["longest_run"], got["tolerant_words"]) == (6, 12)
 
 
+def test_diagonals():
+    rng = np.random.default_rng(6)
+    rows = [rng.random(n) < 0.7 for n in (0, 1, 5, 40, 0, 3, 200, 1, 0)] + [np.ones(9, bool), np.zeros(4, bool)]
+    run, words = leak.diagonals(np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])]))
+    for got_run, got_words, same in zip(run, words, rows):
+        longest = max((len(x) for x in "".join("1" if s else "0" for s in same).split("0")), default=0)
+        v = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
+        best = max((v[j] - v[i], 0) for i in range(len(v)) for j in range(i, len(v)))[0]
+        assert got_run == longest
+        assert (got_words == 0) == (best == 0)
+        assert not best or any(v[i + got_words] - v[i] == best for i in range(len(v) - got_words))
+
+
+def test_leaks_of_many_hot_items(spark):
+    rng = random.Random(5)
+    passage = "one two three four five six seven eight"
+    items = [(i, f"{passage} q{i}") for i in range(40)] + [(100, " ".join(f"r{rng.randrange(9999)}" for _ in range(3000)))]
+    docs = [(i, f"d{i} {passage} e{i}") for i in range(900)] + [(5000, items[-1][1][500:]), (5000, passage), (5001, None)]
+    d, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(r) for r in leak.leaks(d, it).collect()}
+    assert got == {(i, j) for i in [*range(900), 5000] for j in range(40)} | {(5000, 100)}
+
+
 # ------------------------------------------------------------------ p8
 
 
