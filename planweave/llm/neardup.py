@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planweave.functions.shared import partitions, stored
+from planweave.functions.shared import freed, partitions, stored
 from planweave.llm.consistent import _M1, consistent_points, mix, runs, slices, word_hashes
 
 BINS = 1 << 20
@@ -702,6 +702,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_cols: list[str], threshold:
         needed[bins] = True
         pairs = pairs.unionByName(candidates(spark.sparkContext.broadcast(needed))).distinct()
     pairs = stored(pairs, "candidates")
+    freed(spark)
     # A filter of the ids met keeps most elements out of the verifying joins.
     met = spark.sparkContext.broadcast(_bit_table(pairs.select(F.explode(F.array("x", "y")).alias("id")), "id"))
     small = _sifted(carriers.drop("n"), "id", met, True)
