@@ -86,6 +86,13 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return relabelled(_read(spark, d, "documents")).select("doc_id", "seg_no", "lang")
 
 
+def p9_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Every document and segment with its language (und: none of the known ones), confidence and sentences."""
+    from planweave.llm.language import languages
+
+    return languages(_read(spark, d, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1].isdigit()}
 

@@ -433,6 +433,20 @@ def test_level_is_no_worse_than_any_prefix(items, goal):
 # ------------------------------------------------------------------ p9
 
 
+@given(st.lists(st.text(alphabet="ab .!?؟\n\r\t۱A", max_size=30), max_size=6))
+@settings(max_examples=150, deadline=None)
+def test_sentence_spans(texts):
+    from planweave.llm.consistent import code_points
+
+    want = [[s for s in re.split(language.SENTENCE, t) if s.strip()] for t in texts]
+    cps, off = code_points(pa.array(texts, pa.string()))
+    number, spans = language.sentence_spans(cps, off)
+    assert np.diff(spans).tolist() == [len(w) for w in want]
+    flat = [s for w in want for s in w]
+    for k, s in enumerate(flat):
+        assert "".join(chr(c) for c in cps[(number == k) & ~language._BLANK[cps]]) == "".join(s.split())
+
+
 def test_language_accuracy_and_segments(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.fitted(docs)
@@ -450,6 +464,20 @@ def test_language_accuracy_and_segments(spark):
     assert all(0 < r["confidence"] <= 1 for r in language.languages(df, model=model).collect())
     assert language.relabelled(df.limit(0), model=model).count() == 0
     assert language.relabelled(df.limit(0)).count() == 0
+    strange = [
+        (20, "Las obras de conservación del edificio deben realizarse antes de que termine el verano, porque después la lluvia puede dañar el tejado y las paredes.", "es"),
+        (21, "De eigenaar moet de aanvraag indienen bij de gemeente voordat de verbouwing van het huis kan beginnen.", None),
+        (22, "xqzv wkjrp blorft zzgnk qwopl mnbtr vvxcq plokm ijnuh bygvt", "en"),
+        (23, "My grandmother used to bake apple pies every Sunday while the children played in the garden behind the church.", "en"),
+        (24, "مادربزرگم هر یکشنبه پای سیب می‌پخت در حالی که بچه‌ها در باغ پشت کلیسا بازی می‌کردند", "en"),
+        (24, "My grandmother used to bake apple pies every Sunday while the children played in the garden behind the church.", "fa"),
+    ]
+    other = spark.createDataFrame(strange, "doc_id long, text string, lang string")
+    told = sorted((r["doc_id"], r["lang"], r["label"]) for r in language.languages(other, model=model).select("doc_id", "lang", F.coalesce("label", F.lit("")).alias("label")).collect())
+    assert told == [(20, "und", ""), (21, "und", ""), (22, "und", "en"), (23, "en", "en"), (24, "en", "fa"), (24, "fa", "en")]
+    assert sorted((r["doc_id"], r["lang"]) for r in language.relabelled(other, model=model).collect()) == [(24, "en"), (24, "fa")]
+    # Without a labelled document nothing is known.
+    assert {r["lang"] for r in language.languages(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     # Held out: documents after the sample's bound, by their labels, some of which are wrong.
     held = language.languages(docs, model=model).where("n_segments = 1 and label is not null")
     n = held.count()
