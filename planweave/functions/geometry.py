@@ -16,6 +16,30 @@ def point(p: Column) -> Column:
     return F.when(x.isNotNull() & y.isNotNull(), F.struct(x.alias("x"), y.alias("y")))
 
 
+def json_point(text: Column) -> Column:
+    """A JSON text [x, y, ...] or {"x": x, "y": y} as a struct (x, y); null unless both are numbers."""
+    listed = F.from_json(F.when(F.trim(text).startswith("["), text), "array<double>")
+    named = F.from_json(F.when(F.trim(text).startswith("{"), text), "x double, y double")
+    x, y = F.coalesce(F.get(listed, 0), named["x"]), F.coalesce(F.get(listed, 1), named["y"])
+    return F.when(x.isNotNull() & y.isNotNull(), F.struct(x.alias("x"), y.alias("y")))
+
+
+def pixels(value: Column, mm_per_pixel: Column) -> Column:
+    """A length in mm in pixels of a drawing; null for a scale that is not above 0."""
+    return F.when(mm_per_pixel > 0, value / F.when(mm_per_pixel > 0, mm_per_pixel))
+
+
+def square_mm(pixel_area: Column, mm_per_pixel: Column) -> Column:
+    return pixel_area * mm_per_pixel * mm_per_pixel
+
+
+def facing(b: Column, width: Column, height: Column) -> Column:
+    """Direction an opening's box faces in a drawing where nothing else tells it: along its shorter side, away from the drawing's middle."""
+    x, y = (b["x1"] + b["x2"]) / 2, (b["y1"] + b["y2"]) / 2
+    flat = (b["x2"] - b["x1"]) >= (b["y2"] - b["y1"])
+    return F.when(flat, F.when(y < height / 2, "up").otherwise("down")).otherwise(F.when(x < width / 2, "left").otherwise("right"))
+
+
 def ring(polygon: Column) -> Column:
     """[[x, y], ...] as an open ring of points: without points that lack a coordinate and without a closing repeat."""
     pts = F.filter(F.transform(polygon, point), lambda p: p.isNotNull())
@@ -138,6 +162,50 @@ def segments_meet(a: Column, b: Column) -> Column:
     return (side(a, b["x1"], b["y1"]) * side(a, b["x2"], b["y2"]) < 0) & (side(b, a["x1"], a["y1"]) * side(b, a["x2"], a["y2"]) < 0)
 
 
+def segments_distance(a: Column, b: Column) -> Column:
+    """Distance of two segments (x1, y1, x2, y2): 0 if they cross, else the least distance of an end from the other."""
+    ends = [segment_distance(p[f"x{k}"], p[f"y{k}"], q["x1"], q["y1"], q["x2"], q["y2"]) for p, q in ((a, b), (b, a)) for k in (1, 2)]
+    return F.when(segments_meet(a, b), F.lit(0.0)).otherwise(F.least(*ends))
+
+
+def simple(es: Column) -> Column:
+    """Whether no two edges of a ring cross properly."""
+    crossed = F.exists(es, lambda e: F.exists(es, lambda o: segments_meet(e, o)))
+    return ~F.coalesce(crossed, F.lit(False))
+
+
+def segment_meets_box(s: Column, b: Column) -> Column:
+    """Whether a segment (x1, y1, x2, y2) has a point in a box (x1, y1, x2, y2), its border included."""
+    first, last = clipped(s, b)
+    return first <= last
+
+
+def clipped(s: Column, b: Column) -> tuple[Column, Column]:
+    """First and last place, from 0 to 1, of a segment in a box; the first is beyond the last if it has none."""
+    dx, dy = s["x2"] - s["x1"], s["y2"] - s["y1"]
+    low, high = [F.lit(0.0)], [F.lit(1.0)]
+    for d, p, a, z in ((dx, s["x1"], b["x1"], b["x2"]), (dy, s["y1"], b["y1"], b["y2"])):
+        d_ = F.when(d != 0, d)
+        t1, t2 = (a - p) / d_, (z - p) / d_
+        outside = (p < a) | (p > z)
+        low.append(F.coalesce(F.least(t1, t2), F.when(outside, F.lit(2.0)).otherwise(F.lit(0.0))))
+        high.append(F.coalesce(F.greatest(t1, t2), F.lit(1.0)))
+    return F.greatest(*low), F.least(*high)
+
+
+def outside_parts(s: Column, b: Column) -> Column:
+    """The parts of a segment outside a box, as segments: the whole, none, one or two of them; points are no part."""
+    first, last = clipped(s, b)
+    at = lambda t: ((s["x1"] + t * (s["x2"] - s["x1"])), (s["y1"] + t * (s["y2"] - s["y1"])))
+
+    def part(t1, t2):
+        (x1, y1), (x2, y2) = at(t1), at(t2)
+        return F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
+
+    zero, one = F.lit(0.0), F.lit(1.0)
+    return F.array_compact(F.array(F.when(first > last, part(zero, one)), F.when((first <= last) & (first > 0), part(zero, first)), F.when((first <= last) & (last < 1), part(last, one))))
+
+
 def crossing(a: Column, b: Column) -> Column:
     """Point where the lines of two segments cross; null if parallel."""
     d = (a["x2"] - a["x1"]) * (b["y2"] - b["y1"]) - (a["y2"] - a["y1"]) * (b["x2"] - b["x1"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,9 +69,14 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
 
 
 def freed(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of what is stored by now: it does so when its driver finds the plans unused, which else may be hours later."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark delete the shuffle files of what is stored by now: it does so when its driver finds the plans unused, which else may be hours later.
+
+    In two rounds, as what holds a plan may itself be let go in the first.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -24,7 +24,8 @@ def with_json_text(df: DataFrame, column: str, name: str) -> DataFrame:
     df = df.withColumn(name, F.trim(F.col(column)))
     steps = F.sequence(F.lit(0), F.sqrt(F.length(name)).cast("int") + 1)
     df = df.withColumn(name, F.when(F.col(name).startswith('"'), F.aggregate(steps, F.col(name), unwrapped)).otherwise(F.col(name)))
-    return df.withColumn(name, F.when(F.try_parse_json(name).isNotNull(), F.col(name)))
+    # As a member, since the parser alone passes over what follows a complete value.
+    return df.withColumn(name, F.when(F.try_parse_json(F.concat(F.lit('{"a":'), F.col(name), F.lit("}"))).isNotNull(), F.col(name)))
 
 
 def with_entity_texts(df: DataFrame, column: str, name: str) -> DataFrame:

@@ -60,6 +60,7 @@ def match(predicted: DataFrame, truth: DataFrame, key: str, threshold: float) ->
     def one(k, p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["score", "id"], ascending=[False, True])
         free, out = np.ones(len(t), bool), []
+        t = t.sort_values("id")
         tb, tc, ti = t[["x1", "y1", "x2", "y2"]].to_numpy(float), t["label"].to_numpy(), t["id"].to_numpy()
         for row in p.itertuples():
             v = np.where(free & (tc == row.label), _ious(np.array([row.x1, row.y1, row.x2, row.y2], float), tb), -1) if len(t) else np.zeros(0)
@@ -125,21 +126,27 @@ def footprint(rooms: DataFrame) -> DataFrame:
     several parts or a room is not rectilinear. rooms: plan_id, ring.
     """
 
-    def flood(grid: np.ndarray) -> tuple[np.ndarray, int]:
-        label, n = np.zeros(grid.shape, int), 0
-        for i, j in zip(*np.nonzero(grid)):
-            if label[i, j]:
-                continue
-            n += 1
-            todo = [(i, j)]
-            label[i, j] = n
-            while todo:
-                a, b = todo.pop()
-                for c, d in ((a + 1, b), (a - 1, b), (a, b + 1), (a, b - 1)):
-                    if 0 <= c < grid.shape[0] and 0 <= d < grid.shape[1] and grid[c, d] and not label[c, d]:
-                        label[c, d] = n
-                        todo.append((c, d))
-        return label, n
+    def labelled(grid: np.ndarray) -> tuple[np.ndarray, int]:
+        """Number of the connected part of each true cell: least cell numbers spread along rows and columns of cells until they stay."""
+        label = np.where(grid, np.arange(1, grid.size + 1).reshape(grid.shape), 0)
+        runs = []
+        for g in (grid, grid.T):
+            flat = np.concatenate([g, np.zeros((g.shape[0], 1), bool)], 1).ravel()
+            edge = np.flatnonzero(np.diff(flat.astype(np.int8), prepend=0) == 1)
+            runs.append((edge, np.cumsum(np.diff(flat.astype(np.int8), prepend=0) == 1)[flat] - 1))
+        while grid.any():
+            before = label
+            for turn, (edge, which) in enumerate(runs):
+                v = label if turn == 0 else label.T
+                g = grid if turn == 0 else grid.T
+                low = np.full(len(edge), grid.size + 1)
+                np.minimum.at(low, which, v[g])
+                new = np.zeros_like(v)
+                new[g] = low[which]
+                label = new if turn == 0 else new.T
+            if (label == before).all():
+                break
+        return label, len(np.unique(label[grid]))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         rings = [np.array([(p["x"], p["y"]) for p in r], float) for r in pdf["ring"] if r is not None and len(r) >= 3]
@@ -157,17 +164,19 @@ def footprint(rooms: DataFrame) -> DataFrame:
                 at = a[:, 0][:, None] + (cy - a[:, 1][:, None]) * ((b - a)[:, 0] / (b - a)[:, 1])[:, None]
             inside[1:-1, 1:-1] |= ((up[None] & (cx[:, None, None] < at[None])).sum(1) % 2).astype(bool)
         area = float((np.diff(xs)[:, None] * np.diff(ys)[None] * inside[1:-1, 1:-1]).sum())
-        _, parts = flood(inside)
+        _, parts = labelled(inside)
         edges = None
         if straight and parts == 1:
-            outer = flood(~inside)[0]
+            outer = labelled(~inside)[0]
             outside = outer == outer[0, 0]
             edges = []
-            for i, j in zip(*np.nonzero(inside)):
-                x1, x2, y1, y2 = xs[i - 1], xs[i], ys[j - 1], ys[j]
-                for a, b, e in ((i - 1, j, (x1, y1, x1, y2)), (i + 1, j, (x2, y1, x2, y2)), (i, j - 1, (x1, y1, x2, y1)), (i, j + 1, (x1, y2, x2, y2))):
-                    if outside[a, b]:
-                        edges.append([float(v) for v in e])
+            for di, dj in ((-1, 0), (1, 0), (0, -1), (0, 1)):
+                i, j = np.nonzero(inside & np.roll(outside, (-di, -dj), (0, 1)))
+                # The side of the cell that faces the outside.
+                x1, x2 = xs[i - (di <= 0)], xs[i - (di < 0)]
+                y1, y2 = ys[j - (dj <= 0)], ys[j - (dj < 0)]
+                edges.append(np.stack([x1, y1, x2, y2], 1))
+            edges = [[float(v) for v in e] for e in np.concatenate(edges)]
         return pd.DataFrame({"plan_id": [plan], "area": [area], "parts": [parts], "exterior": [edges]})
 
     return rooms.select("plan_id", "ring").groupBy("plan_id").applyInPandas(one, "plan_id string, area double, parts int, exterior array<array<double>>")

@@ -40,6 +40,19 @@ def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def once_each(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df, after a check that no key occurs twice; a repeated key raises, with some of them named."""
+    again = [tuple(r) for r in repeated_keys(df, keys).select(*keys).limit(5).collect()]
+    if again:
+        raise ValueError(f"keys occur more than once: {again}")
+    return df
+
+
+def added(known: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """known with those rows of new whose key it lacks, once each (the first by the order): adding the same again changes nothing."""
+    return known.unionByName(unseen(first_seen(new, keys, order), known, keys).select(*known.columns))
+
+
 def unseen(df: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key is not in the known table; null keys are unseen."""
     return df.join(known.select(*keys).distinct(), keys, "left_anti")

@@ -164,3 +164,19 @@ def notes(*pairs: tuple[Column, str]) -> Column:
 def share_text(part: Column, whole: Column) -> Column:
     """A share as text with one decimal and a per cent sign; a whole of 0 counts as 1."""
     return F.format_string("%.1f%%", part / F.greatest(whole, F.lit(1)) * 100)
+
+
+def array_mean(values: Column) -> Column:
+    """Mean of an array; null for an empty one."""
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, v: a + v), F.size(values))
+
+
+def perimeter(walls: DataFrame, key: str, length: str) -> DataFrame:
+    """(key, walls, perimeter, mean, extent): number, sum and mean of the lengths; extent: product of the two longest of at least four.
+
+    The two longest are kept by a partial aggregate of two values: the greatest, and the greatest of the rest by their place.
+    """
+    w = walls.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(length), "ord")))
+    top = lambda k: F.max(F.when(F.col("r") == k, F.col(length)))
+    g = w.groupBy(key).agg(F.count("*").alias("walls"), F.sum(length).alias("perimeter"), F.avg(length).alias("mean"), (top(1) * top(2)).alias("two"))
+    return g.select(key, "walls", "perimeter", "mean", F.when(F.col("walls") >= 4, F.col("two")).alias("extent"))

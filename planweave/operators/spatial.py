@@ -123,3 +123,55 @@ def near_pairs(points: DataFrame, distance: float) -> DataFrame:
     b = at_cell(points, F.col("x"), F.col("y"), distance).select("plan_id", "cx", "cy", F.col("id").alias("id_b"), F.col("ord").alias("ord_b"), "x", "y")
     pairs = a.join(b, ["plan_id", "cx", "cy"]).where("ord_a < ord_b")
     return pairs.where(G.length(F.col("xa"), F.col("ya"), F.col("x"), F.col("y")) < distance).select("plan_id", "id_a", "id_b")
+
+
+def not_covered(boxes: DataFrame, covers: DataFrame, share: float, cell: float) -> DataFrame:
+    """Boxes of whose area no single cover of their plan takes more than the share (overlap anti-join).
+
+    boxes, covers: (plan_id, id, ord, b).  Covers are looked for in the cells a box touches; ids of covered boxes alone are set aside.
+    """
+    b = boxes.select("plan_id", "ord", "b").withColumn("a", F.col("b"))
+    placed = in_cells(b, F.col("b.x1"), F.col("b.y1"), F.col("b.x2"), F.col("b.y2"), cell).select("plan_id", "cx", "cy", "ord", "a")
+    c = in_cells(covers.select("plan_id", F.col("b").alias("c")), F.col("c.x1"), F.col("c.y1"), F.col("c.x2"), F.col("c.y2"), cell)
+    hit = placed.join(c, ["plan_id", "cx", "cy"]).where(G.overlap(F.col("a"), F.col("c")) > share * G.box_area(F.col("a"))).select("plan_id", "ord").distinct()
+    return boxes.join(hit, ["plan_id", "ord"], "left_anti")
+
+
+def meeting_boxes(boxes: DataFrame, cell: float) -> DataFrame:
+    """(plan_id, id_a, id_b, x, y), ord_a < ord_b: boxes of one plan that overlap or touch, and the middle of what they share.
+
+    boxes: (plan_id, id, ord, b).  A pair that shares several cells is judged in the first of them only.
+    """
+    placed = in_cells(boxes, F.col("b.x1"), F.col("b.y1"), F.col("b.x2"), F.col("b.y2"), cell)
+    side = lambda s: placed.select("plan_id", "cx", "cy", F.col("id").alias(f"id_{s}"), F.col("ord").alias(f"ord_{s}"), F.col("b").alias(s))
+    x1, y1 = F.greatest("a.x1", "c.x1"), F.greatest("a.y1", "c.y1")
+    x2, y2 = F.least("a.x2", "c.x2"), F.least("a.y2", "c.y2")
+    first = (F.floor(x1 / cell) == F.col("cx")) & (F.floor(y1 / cell) == F.col("cy"))
+    pairs = side("a").join(side("c"), ["plan_id", "cx", "cy"]).where("ord_a < ord_c").where((x1 <= x2) & (y1 <= y2) & first)
+    return pairs.select("plan_id", "id_a", F.col("id_c").alias("id_b"), ((x1 + x2) / 2).alias("x"), ((y1 + y2) / 2).alias("y"))
+
+
+def snapped(points: DataFrame, targets: DataFrame, within: float) -> DataFrame:
+    """Points moved to the target whose id they name, where it is within reach; other points stay, with ``snapped`` false.
+
+    points: (plan_id, ..., target_id, x, y); targets: (plan_id, target_id, tx, ty), ids once per plan.
+    """
+    both = points.join(targets.select("plan_id", "target_id", "tx", "ty"), ["plan_id", "target_id"], "left")
+    near = F.coalesce(G.length(F.col("x"), F.col("y"), F.col("tx"), F.col("ty")) <= within, F.lit(False))
+    moved = {"x": F.when(near, F.col("tx")).otherwise(F.col("x")), "y": F.when(near, F.col("ty")).otherwise(F.col("y")), "snapped": near}
+    return both.withColumns(moved).drop("tx", "ty")
+
+
+def tagged_regions(regions: DataFrame, tags: DataFrame, reach: float) -> DataFrame:
+    """(plan_id, room_id, ord, tag): the first tag inside each region, else the nearest to the mean of its corners within reach, else null.
+
+    regions: (plan_id, room_id, ord, ring); tags: (plan_id, ord, x, y), the tag being its order.
+    """
+    held = _in_reach(tags.select("plan_id", F.col("ord").alias("id"), "ord", "x", "y"), regions, 0.0, 4 * reach).groupBy("plan_id", "room_ord").agg(F.min("ord").alias("held"))
+    mid = regions.select("plan_id", "room_id", F.col("ord").alias("room_ord"), G.vertex_mean(F.col("ring")).alias("m"))
+    t = at_cell(tags.select("plan_id", F.col("ord").alias("tag"), "x", "y"), F.col("x"), F.col("y"), reach)
+    m = in_cells(mid, F.col("m.x") - reach, F.col("m.y") - reach, F.col("m.x") + reach, F.col("m.y") + reach, reach)
+    far = G.length(F.col("m.x"), F.col("m.y"), F.col("x"), F.col("y"))
+    near = m.join(t, ["plan_id", "cx", "cy"]).withColumn("far", far).where(F.col("far") <= reach).groupBy("plan_id", "room_ord").agg(F.min(F.struct("far", "tag")).alias("n"))
+    out = mid.join(held, ["plan_id", "room_ord"], "left").join(near, ["plan_id", "room_ord"], "left")
+    return out.select("plan_id", "room_id", F.col("room_ord").alias("ord"), F.coalesce("held", "n.tag").alias("tag"))

@@ -6,22 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planweave.functions import geometry as G
-from planweave.operators import graph, greedy, keyed, measures, spatial
+from planweave.operators import graph, keyed, measures, spatial
 from planweave.sources import elements as E
 from planweave.sources.files import report_rows
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+def registry() -> tuple:
+    """Queries, their SQL, and the decorator that registers a query with its SQL."""
+    queries_, sql_ = {}, {}
 
+    def query(sql: str | None = None):
+        def register(f):
+            queries_[f.__name__] = f
+            if sql:
+                sql_[f.__name__] = sql
+            return f
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
+        return register
 
-    return register
+    return queries_, sql_, query
+
+
+QUERIES, SQL, query = registry()
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -481,64 +486,14 @@ def graph_reachable(spark, d):
     return graph.reachable(nodes.select("g", "node"), edges, nodes.where("s_nationkey in (0, 5)")).select("node", "reaches")
 
 
-@query()
+@query(_SUPPLY.replace("r(node, label)", "goal AS (SELECT s_suppkey AS node FROM supplier WHERE s_nationkey IN (0, 5)), r(node, steps)").replace("SELECT s_suppkey, s_suppkey FROM supplier UNION SELECT e.b, r.label FROM r JOIN e ON r.node = e.a", "SELECT node, 0 FROM goal UNION SELECT e.b, r.steps + 1 FROM r JOIN e ON r.node = e.a WHERE r.steps < 40") + """, m AS (SELECT node, min(steps) AS steps FROM r GROUP BY node)
+SELECT m.node, CAST(m.steps AS INTEGER) AS steps, min(v.node) AS via FROM m LEFT JOIN e ON e.a = m.node AND m.steps > 0 LEFT JOIN m v ON v.node = e.b AND v.steps = m.steps - 1 GROUP BY m.node, m.steps""")
 def graph_steps(spark, d):
     """Fewest steps from each supplier to one of given nations."""
     nodes, edges = _supply_graph(spark, d)
     return graph.steps_to(nodes.select("g", "node"), edges, nodes.where("s_nationkey in (0, 5)")).select("node", "steps", "via")
 
 
-@query()
-def room_links(spark, d):
-    """Doors to rooms on either side of their wall: two probes along the normal, nearest room each; the second excludes the first."""
-    plans = _read(spark, d, "plans")
-    o = E.openings(plans, "doors").where("x is not null and y is not null")
-    w = E.walls(plans).select("plan_id", F.col("wall_id").alias("host_wall_id"), "x1", "y1", "x2", "y2")
-    n = G.length(*(F.col(c) for c in ("x1", "y1", "x2", "y2")))
-    o = o.join(w, ["plan_id", "host_wall_id"], "left").withColumn("n", n)
-    probes = o.withColumn("s", F.explode(F.array(F.lit(1.0), F.lit(-1.0)))).select(
-        "plan_id", "id", "ord", F.when(F.col("s") > 0, 0).otherwise(1).alias("side"),
-        F.when(F.col("n") > 0, F.col("x") - F.col("s") * 150 * (F.col("y2") - F.col("y1")) / F.col("n")).otherwise(F.col("x")).alias("x"),
-        F.when(F.col("n") > 0, F.col("y") + F.col("s") * 150 * (F.col("x2") - F.col("x1")) / F.col("n")).otherwise(F.col("y")).alias("y"),
-    )
-    met = spatial.two_polygons(probes, E.rooms(plans), 300.0).withColumn("rooms", F.sort_array(F.array_compact(F.array("a", "b"))))
-    return met.select("plan_id", "id", F.get("rooms", 0).alias("room_a"), F.get("rooms", 1).alias("room_b"))
-
-
-@query()
-def footprints(spark, d):
-    """Union area, parts and number of outer edges of each plan's rooms."""
-    f = greedy.footprint(E.rooms(_read(spark, d, "plans")).where(F.size("ring") >= 3))
-    return f.select("plan_id", "area", "parts", F.size("exterior").alias("outer_edges"))
-
-
-@query()
-def suppressed_rooms(spark, d):
-    """Greedy suppression of overlapping rooms by area."""
-    r = E.rooms(_read(spark, d, "plans")).where(F.size("ring") >= 3).withColumn("b", G.bounds(F.col("ring")))
-    return greedy.suppress(r.select("plan_id", F.col("ord").alias("id"), G.area(F.col("ring")).alias("score"), "b.x1", "b.y1", "b.x2", "b.y2"), ["plan_id"], 0.3)
-
-
-@query()
-def thinned_doors(spark, d):
-    """Doors of a plan, in order, unless a kept one is nearer than 1500 mm."""
-    return greedy.radius_dedup(E.openings(_read(spark, d, "plans"), "doors"), "plan_id", 1500.0)
-
-
-@query()
-def door_chain(spark, d):
-    """Doors of each plan in greedy nearest-neighbour order."""
-    return greedy.chain(E.openings(_read(spark, d, "plans"), "doors"), "plan_id")
-
-
-@query()
-def matched_boxes(spark, d):
-    """Windows as predictions matched to doors as truth of their plan, greedily by score."""
-    plans = _read(spark, d, "plans")
-    box = lambda o: o.where("x is not null and y is not null and width is not null").select("plan_id", F.col("ord").alias("id"), F.lit(1).alias("label"), F.col("width").alias("score"), (F.col("x") - F.col("width")).alias("x1"), (F.col("y") - F.col("width")).alias("y1"), (F.col("x") + F.col("width")).alias("x2"), (F.col("y") + F.col("width")).alias("y2"))
-    return greedy.match(box(E.openings(plans, "windows")), box(E.openings(plans, "doors")), "plan_id", 0.1)
-
-
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Rooms with their area and the windows that lie nearest to them."""
     plans = _read(spark, d, "plans")
@@ -547,9 +502,16 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return r.join(w, ["plan_id", "room_id"], "left").select("plan_id", "room_id", "category", "area", F.coalesce("windows", F.lit(0)).alias("windows"))
 
 
+def _all() -> list:
+    from planweave.plans import rooms, tables
+
+    return [(QUERIES, SQL), (rooms.QUERIES, rooms.SQL), (tables.QUERIES, tables.SQL)]
+
+
 def queries() -> dict:
-    return dict(QUERIES)
+    """All queries of the core."""
+    return {k: v for q, _ in _all() for k, v in q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {k: v for _, s in _all() for k, v in s.items()}

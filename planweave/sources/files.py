@@ -218,3 +218,91 @@ def report_rows(findings: DataFrame) -> DataFrame:
     title = F.when(F.length("message") > 70, F.concat(F.left("message", F.lit(70)), F.lit("…"))).otherwise(F.col("message"))
     row = F.format_string("<tr><td>%s</td><td>%s</td><td>%s</td></tr>", escaped(F.coalesce("article_id", F.lit(""))), escaped(F.coalesce("verdict", F.lit(""))), escaped(F.coalesce(title, F.lit(""))))
     return findings.withColumns({"verdict_rank": rank, "title": title, "markup": row})
+
+
+def shortened(text, most: int):
+    """A text of at most so many characters, the last one a mark of what was left out."""
+    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most - 1)), F.lit("…"))).otherwise(text)
+
+
+def issue_topics(findings: DataFrame) -> DataFrame:
+    """Findings that fail or are open as issue topics: a title of at most 200 characters, a stable guid and a markup document each."""
+    v = F.upper(F.trim("verdict"))
+    out = findings.where(v.isin("FAIL", "NEEDS_REVIEW")).withColumns({"priority": v, "title": shortened(F.col("message"), 200)})
+    h = F.md5(F.concat_ws("|", F.col("finding_id").cast("string"), "plan_id", "article_id"))
+    guid = F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    body = F.format_string('<Markup><Topic Guid="%s" TopicStatus="Open"><Title>%s</Title><Priority>%s</Priority></Topic></Markup>', guid, escaped(F.coalesce("title", F.lit(""))), F.col("priority"))
+    return out.withColumns({"guid": guid, "markup": body})
+
+
+def write_topics(findings: DataFrame, path: str) -> None:
+    """Issue topics as one JSON line each (guid, markup), from which an archive can be put together without the findings."""
+    issue_topics(findings).select("finding_id", "guid", "priority", "title", "markup").write.mode("overwrite").json(path)
+
+
+def write_report(findings: DataFrame, path: str, title: str = "Report") -> None:
+    """Findings as HTML parts in report order, one file a range of the order: a head, rows, no part larger than its range."""
+    rows = report_rows(findings).orderBy("verdict_rank", F.col("article_id").cast("string"), "finding_id")
+    rows.select(F.col("markup").alias("value")).write.mode("overwrite").text(f"{path}/rows")
+    head = f"<html><head><title>{title}</title></head><body><table>"
+    findings.sparkSession.createDataFrame([(head,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/head")
+
+
+def append_log(df: DataFrame, path: str) -> None:
+    """Rows added to an append-only log; readers take the last of each key (``keyed.latest``)."""
+    df.write.mode("append").parquet(path)
+
+
+def append_csv(df: DataFrame, path: str) -> None:
+    """Rows added to CSV files with a header; nulls are empty."""
+    df.write.mode("append").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+
+
+def conversion_report(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
+    """(name, n): images with and without annotations, and annotations of each category, zeros included."""
+    has = annotations.select(F.col("image_id").alias("id")).distinct().withColumn("has", F.lit(True))
+    i = images.join(has, "id", "left").groupBy(F.when(F.col("has"), "converted").otherwise("skipped").alias("name")).agg(F.count("*").alias("n"))
+    c = categories.join(annotations.groupBy(F.col("category_id").alias("id")).agg(F.count("*").alias("n")), "id", "left")
+    return i.unionByName(c.select("name", F.coalesce("n", F.lit(0)).alias("n")))
+
+
+def png_size(content):
+    """(width, height) of a PNG file's bytes, from its header; null for other files."""
+    number = lambda at: F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("int")
+    return F.when(F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A", F.struct(number(17).alias("width"), number(21).alias("height")))
+
+
+def view_box(text, width, height):
+    """(sx, sy, dx, dy): scale and offset from a drawing's view box "x y w h" to pixels; 1 and 0 where it has none."""
+    p = F.transform(F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), ",", " ")), r"\s+"), lambda v: v.try_cast("double"))
+    ok = (F.size(p) == 4) & F.forall(p, lambda v: v.isNotNull()) & (F.get(p, 2) > 0) & (F.get(p, 3) > 0)
+    sx, sy = F.try_divide(width.cast("double"), F.get(p, 2)), F.try_divide(height.cast("double"), F.get(p, 3))
+    one, zero = F.lit(1.0), F.lit(0.0)
+    return F.struct(
+        F.when(ok, sx).otherwise(one).alias("sx"), F.when(ok, sy).otherwise(one).alias("sy"), F.when(ok, -F.get(p, 0) * sx).otherwise(zero).alias("dx"), F.when(ok, -F.get(p, 1) * sy).otherwise(zero).alias("dy")
+    )
+
+
+def class_of(tokens, element_id, title, known: dict[str, int]):
+    """Class of a drawn element: of the first class token that is known, else of its id, of its id without a number, of its title; null if none is."""
+    table = F.create_map(*[F.lit(x) for k, v in known.items() for x in (k.lower(), v)])
+    look = lambda t: F.try_element_at(table, F.lower(F.trim(t)))
+    first = F.get(F.filter(F.transform(F.split(F.coalesce(tokens, F.lit("")), r"\s+"), look), lambda v: v.isNotNull()), 0)
+    return F.coalesce(first, look(element_id), look(F.regexp_replace(element_id, r"[-_ ]*\d+$", "")), look(title))
+
+
+def with_defaults(df: DataFrame, defaults: dict) -> DataFrame:
+    """df with values that are missing or cannot be read as the default's type replaced by it; missing columns are added."""
+    kinds = {bool: "boolean", int: "long", float: "double", str: "string"}
+    out = {}
+    for name, value in defaults.items():
+        have = F.col(name).cast("string").try_cast(kinds[type(value)]) if name in df.columns else F.lit(None).cast(kinds[type(value)])
+        out[name] = F.coalesce(have, F.lit(value))
+    return df.withColumns(out)
+
+
+def paragraphs(df: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
+    """(doc, pos, style, text) of the paragraphs of plain texts that are not blank; a line of marks # before a heading tells its style."""
+    p = df.select(doc, F.posexplode(F.split(text, r"\r?\n")).alias("pos", "line")).where(F.trim("line") != "")
+    level = F.length(F.regexp_extract("line", r"^(#+)\s", 1))
+    return p.select(doc, "pos", F.when(level > 0, F.concat(F.lit("Heading "), level)).otherwise("Normal").alias("style"), F.trim(F.regexp_replace("line", r"^#+\s+", "")).alias("text"))

@@ -38,9 +38,9 @@ def test_catalogue_against_sql(spark, data, con, name):
     assert got == sorted(repr(tuple(r[i] for i in at)) for r in rel.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
-def test_catalogue_runs(spark, data, name):
-    assert catalogue.queries()[name](spark, data).count() >= 0
+def test_queries_without_sql():
+    # These are tested by fixtures below and by their planted cases.
+    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) <= {"p3_found", "p5_found"}
 
 
 def test_entry(spark):
@@ -196,8 +196,7 @@ def _room_links(plan):
         for p in probes:
             near = [(math.hypot(*_apart(*p, ring)), k, room) for k, (room, ring) in enumerate(plan["rooms"]) if room not in met]
             met += [b[2] for b in [min(near, default=(1e9,))] if b[0] <= 300]
-        if met:
-            out.add((plan["plan_id"], door, *(sorted(met) + [None])[:2]))
+        out.add((plan["plan_id"], door, *(sorted(met) + [None, None])[:2]))
     return out
 
 
@@ -215,9 +214,9 @@ def test_room_links_exclude_the_first_room(spark, tmp_path):
     for p in plans:
         rows.append(json.dumps({"plan_id": p["plan_id"], "rooms": [{"id": i, "polygon": r} for i, r in p["rooms"]], "walls": [{"id": i, "start_point": a, "end_point": b} for i, a, b in p["walls"]], "doors": [{"id": i, "host_wall_id": h, "insertion_point": [x, y]} for i, h, x, y in p["doors"]]}))
     spark.read.schema(schema).json(spark.sparkContext.parallelize(rows)).write.parquet(str(tmp_path / "plans.parquet"))
-    got = [tuple(r) for r in catalogue.room_links(spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in catalogue.queries()["room_links"](spark, str(tmp_path)).collect()]
     want = set().union(*map(_room_links, plans))
-    assert {("edge", "hostless", "r1", "r2"), ("edge", "shifted", "r1", "r2"), ("edge", "outer", "r1", None)} <= want
+    assert {("edge", "hostless", "r1", "r2"), ("edge", "shifted", "r1", "r2"), ("edge", "outer", "r1", None), ("edge", "far", None, None)} <= want
     assert len(got) == len(set(got)) and set(got) == want
 
 
@@ -250,6 +249,182 @@ def test_greedy(spark):
 # ------------------------------------------------------------------ keyed tables, measures, files, streams
 
 
+def test_limits_and_comparators(spark):
+    from planweave.operators import limits
+
+    rows = [(1.0, ">=", 1.0, None), (1.0, ">", 1.0, None), (2.0, "range", 1.0, 2.0), (2.1, "range", 1.0, 2.0), (1.0, "=", 1.0, None), (None, "<", 1.0, None), (0.5, "<", 1.0, None), (1.0, "<=", 0.9, None)]
+    df = spark.createDataFrame(rows, "v double, c string, lo double, hi double")
+    assert [r[0] for r in df.select(limits.holds(*(F.col(x) for x in ("v", "c", "lo", "hi")))).collect()] == [True, False, True, False, False, None, True, False]
+
+
+def test_texts(spark):
+    from planweave.operators import texts as T
+
+    one = lambda col, *v: [r[0] for r in spark.createDataFrame([(x,) for x in v], "t string").select(col(F.col("t"))).collect()]
+    assert one(T.as_text, None, "null", "plain", '["a", ["b", {"k": "c"}]]', '{"k": "v: w"}', "[1") == ["", "", "plain", "a b c", "v: w", "[1"]
+    words = [("wet", ["bath", "kitchen"]), ("any", ["room"])]
+    assert one(lambda c: T.category_of(c, words), "The BATH-room", "room 5", "hall", None) == ["wet", "any", None, None]
+    assert one(lambda c: T.mentions(c, ["exit"]), "No EXIT", "no", None) == [True, False, False]
+    df = spark.createDataFrame([(1, 'Here: [{"a": 1}, 2] end'), (2, "nothing"), (3, 'x {"a": [1'), (4, 'only {"a": 1} one'), (5, "[1] and [2]"), (6, None)], "id int, t string")
+    assert [(r["id"], r["n_members"]) for r in T.json_members(df, "t").orderBy("id").collect()] == [(1, 2), (2, 0), (3, 0), (4, 1), (5, 0), (6, 0)]
+
+
+def test_nearest_terms_against_all_pairs(spark):
+    from planweave.operators import texts as T
+
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("ABC") for _ in range(n))
+    terms = [(k, word(rng.randint(1, 12))) for k in range(60)]
+    values = [word(rng.randint(0, 14)) for _ in range(200)] + [" abc ", None, terms[3][1]]
+
+    def lev(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    want = {}
+    for v in {x.strip().upper() for x in values if x}:
+        if len(v) >= 2:
+            s = sorted((-(1 - lev(v, t) / max(len(v), len(t))) * 100, k) for k, t in terms)
+            good = [(a, k) for a, k in s if -a >= 80 and (len(v) >= 4 or a == -100)]
+            want[v] = (good[0][1], round(-good[0][0], 6)) if good else (None, 0.0)
+    v = spark.createDataFrame([(x,) for x in values], "o string")
+    got = {r["value"]: (r["term_id"], round(r["score"], 6)) for r in T.nearest_terms(v, "o", spark.createDataFrame(terms, "term_id int, term string"), "term", "term_id").collect()}
+    assert got == want
+
+
+def test_detections(spark):
+    from planweave.operators import detections as D
+
+    st_ = spark.createDataFrame([(0, 0), (3, 3), (3, 0), (3, 1)], "f int, k int")
+    assert [tuple(r) for r in st_.select(D.status(F.col("f"), F.col("k")), D.status(F.col("f"), F.col("k"), False)).collect()] == [("skipped", "skipped"), ("ok", "ok"), ("failed", "degraded"), ("degraded", "degraded")]
+    df = spark.createDataFrame([("g", 1, 0.9, 1, 2.0), ("g", 2, 0.8, 0, 2.0), ("g", 3, 0.7, 1, 2.0), ("h", 1, 0.5, 0, 0.0)], "g string, id int, s double, hit int, n double")
+    ap = {r["g"]: r for r in D.average_precision(df, ["g"], "s", "hit", "n", ["id"]).collect()}
+    assert ap["g"]["ap"] == pytest.approx(0.5 + 0.5 * 2 / 3) and ap["g"]["recall"] == 1 and ap["h"]["ap"] == 0
+    sweep = spark.createDataFrame([("a", 0.1, 0.5), ("a", 0.2, 0.5), ("a", 0.3, None), ("b", 0.1, None)], "k string, t double, v double")
+    assert [tuple(r) for r in D.best_threshold(sweep, ["k"], "t", "v").collect()] == [("a", 0.1, 0.5)]
+    m = D.metrics(spark.createDataFrame([("a", None, None, 10.0)], "k string, c double, s double, w double"), ["k"], "c", F.col("s"), F.col("w")).first()
+    assert (m["n"], m["mean"], m["coverage"]) == (1, 0.0, 0.0)
+    assert D.class_overlap(spark.createDataFrame([("a", 0.0, 0.0)], "l string, c double, e double"), "l", "c", "e").first()["iou"] is None
+
+
+def test_drawing_helpers(spark):
+    import struct
+
+    from planweave.sources import files
+
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 640, 480) + b"rest"
+    r = spark.createDataFrame([(bytearray(png),), (bytearray(b"GIF89a"),)], "c binary").select(files.png_size(F.col("c")).alias("s")).collect()
+    assert tuple(r[0]["s"]) == (640, 480) and r[1]["s"] is None
+    v = spark.createDataFrame([("10 20 100 50",), ("0,0,0,5",), (None,), ("a b c d",)], "v string").select(files.view_box(F.col("v"), F.lit(200), F.lit(100)).alias("s")).collect()
+    assert [tuple(x["s"]) for x in v] == [(2.0, 2.0, -20.0, -40.0), (1.0, 1.0, 0.0, 0.0), (1.0, 1.0, 0.0, 0.0), (1.0, 1.0, 0.0, 0.0)]
+    k = spark.createDataFrame([("x Wall", "id", None), ("x", "Door-12", None), (None, "q9", "Window"), (None, None, None)], "c string, i string, t string")
+    assert [x[0] for x in k.select(files.class_of(F.col("c"), F.col("i"), F.col("t"), {"wall": 1, "door": 2, "window": 3})).collect()] == [1, 2, 3, None]
+    d = files.with_defaults(spark.createDataFrame([("x", None), ("2.5", "n")], "height string, name string"), {"height": 3.0, "name": "plan", "floors": 1}).collect()
+    assert [(x["height"], x["name"], x["floors"]) for x in d] == [(3.0, "plan", 1), (2.5, "n", 1)]
+    p = files.paragraphs(spark.createDataFrame([(1, "# Head\n\n text \n## Sub"), (2, None)], "doc int, text string")).orderBy("pos").collect()
+    assert [(x["pos"], x["style"], x["text"]) for x in p] == [(0, "Heading 1", "Head"), (2, "Normal", "text"), (3, "Heading 2", "Sub")]
+    j = spark.createDataFrame([("[1, 2, 3]",), ('{"x": 4, "y": 5.5}',), ("[1]",), ("q",), (None,)], "t string").select(G.json_point(F.col("t")).alias("p")).collect()
+    assert [x["p"] and tuple(x["p"]) for x in j] == [(1.0, 2.0), (4.0, 5.5), None, None, None]
+
+
+def test_logs_and_reports(spark, tmp_path):
+    from planweave.sources import files
+
+    f = spark.createDataFrame([(1, "P", "a<b", "FAIL", "m" * 300), (2, "P", "c", "PASS", "x"), (3, "P", None, "needs_review", None)], "finding_id int, plan_id string, article_id string, verdict string, message string")
+    t = {r["finding_id"]: r for r in files.issue_topics(f).collect()}
+    assert t.keys() == {1, 3} and len(t[1]["title"]) == 200 and t[1]["title"].endswith("…") and "<Title>m" in t[1]["markup"]
+    files.write_report(f, str(tmp_path / "r"))
+    rows = [r["value"] for r in spark.read.text(str(tmp_path / "r" / "rows")).collect()]
+    assert "a&lt;b" in rows[0] and len(rows) == 3
+    files.write_topics(f, str(tmp_path / "t"))
+    assert spark.read.json(str(tmp_path / "t")).count() == 2
+    for v in (1, 2):
+        files.append_log(spark.createDataFrame([("j", v)], "job string, at int"), str(tmp_path / "log"))
+        files.append_csv(spark.createDataFrame([("j", None if v == 1 else 0.5)], "k string, iou double"), str(tmp_path / "csv"))
+    assert [tuple(r) for r in keyed.latest(spark.read.parquet(str(tmp_path / "log")), ["job"], ["at"]).collect()] == [("j", 2)]
+    assert sorted(str(r["iou"]) for r in spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()) == ["0.5", "None"]
+    (tmp_path / "coco.json").write_text(json.dumps({"images": [{"id": 1, "file_name": "a", "width": 5, "height": 5}, {"id": 2, "file_name": "b", "width": 5, "height": 5}], "annotations": [{"id": 1, "image_id": 1, "category_id": 3, "segmentation": [[0, 0, 4, 0, 4, 4]], "bbox": [0, 0, 4, 4], "area": 8, "iscrowd": 0}, {"id": 2, "image_id": 2, "category_id": 3, "segmentation": [], "bbox": [0, 0, 1, 1], "area": 1, "iscrowd": 0}], "categories": [{"id": 3, "name": "door"}, {"id": 4, "name": "window"}]}))
+    images, annotations, categories = files.coco(spark, str(tmp_path / "coco.json"))
+    assert [(r["id"], len(r["annotations"])) for r in files.annotated_images(images, annotations).collect()] == [(1, 1)]
+    assert {tuple(r) for r in files.conversion_report(images, annotations.where("area >= 4"), categories).collect()} == {("converted", 1), ("skipped", 1), ("door", 1), ("window", 0)}
+    files.write_coco(images, annotations, [(3, "door"), (4, "window")], str(tmp_path / "out"))
+    back = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert sorted(b["images"][0]["id"] for b in back) == [1, 2] and all(len(b["categories"]) == 2 for b in back)
+
+
+def test_keyed_checks(spark):
+    from planweave.operators import detections as D
+
+    a = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (3, "z")], "id int, name string")
+    assert {tuple(r) for r in D.bijection_faults(a, "id", "name").collect()} == {("id", "1", 2), ("name", "z", 2)}
+    with pytest.raises(ValueError):
+        keyed.once_each(a, ["id"])
+    assert keyed.once_each(a.where("id = 2"), ["id"]).count() == 1
+    assert sorted(r["id"] for r in keyed.unseen(a, spark.createDataFrame([(1,)], "id int"), ["id"]).collect()) == [2, 3]
+    n = spark.createDataFrame([(1, "k1"), (2, "k2"), (3, "k2")], "v int, key string")
+    known = spark.createDataFrame([(9, "k1")], "v int, key string")
+    once = keyed.added(known, n, ["key"], ["v"])
+    assert sorted(map(tuple, once.collect())) == [(2, "k2"), (9, "k1")] and sorted(map(tuple, keyed.added(once, n, ["key"], ["v"]).collect())) == sorted(map(tuple, once.collect()))
+
+
+SEGMENTS = [((0, 0, 10, 0), (2, -1, 4, 1)), ((0, 0, 1, 0), (2, -1, 4, 1)), ((3, 0, 3.5, 0), (2, -1, 4, 1)), ((0, 5, 10, 5), (2, -1, 4, 1)), ((2, -5, 2, 5), (2, -1, 4, 1)), ((0, 0, 4, 4), (4, 4, 6, 6)), ((3, 0, 9, 0), (2, -1, 4, 1)), ((1, 1, 1, 1), (0, 0, 2, 2))]
+
+
+def test_segments_and_boxes(spark):
+    df = spark.createDataFrame([({k: float(v) for k, v in zip(("x1", "y1", "x2", "y2"), s)}, {k: float(v) for k, v in zip(("x1", "y1", "x2", "y2"), b)}) for s, b in SEGMENTS], "s struct<x1:double,y1:double,x2:double,y2:double>, b struct<x1:double,y1:double,x2:double,y2:double>")
+    got = df.select(G.segment_meets_box(F.col("s"), F.col("b")).alias("m"), G.outside_parts(F.col("s"), F.col("b")).alias("p")).collect()
+    assert [r["m"] for r in got] == [True, False, True, False, True, True, True, True]
+    parts = [[tuple(x) for x in r["p"]] for r in got]
+    assert parts[0] == [(0, 0, 2, 0), (4, 0, 10, 0)] and parts[1] == [(0, 0, 1, 0)] and parts[2] == [] and parts[3] == [(0, 5, 10, 5)]
+    assert parts[4] == [(2, -5, 2, -1), (2, 1, 2, 5)] and parts[5] == [(0, 0, 4, 4)] and parts[6] == [(4, 0, 9, 0)] and parts[7] == []
+    d = df.select(G.segments_distance(F.col("s"), F.col("b")).alias("d"), G.simple(G.edges(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (2.0, 2.0), (2.0, 0.0), (0.0, 2.0))]))).alias("s")).collect()
+    assert d[0]["d"] == 0 and d[1]["d"] == pytest.approx(math.sqrt(2)) and not d[0]["s"]
+
+
+def plan_fixture(spark, tmp_path, name, rooms, walls, doors, windows=()):
+    """One plan as a table: rooms (id, category, x1, y1, x2, y2), walls (id, x1, y1, x2, y2, exterior), doors and windows (id, host, x, y, width, height)."""
+    box = lambda x1, y1, x2, y2: [[x1, y1], [x2, y1], [x2, y2], [x1, y2], [x1, y1]]
+    opening = lambda o: {"id": o[0], "host_wall_id": o[1], "insertion_point": [float(o[2]), float(o[3])], "width": float(o[4]), "height": float(o[5])}
+    doc = {"plan_id": "P", "rooms": [{"id": r[0], "category": r[1], "polygon": box(*map(float, r[2:]))} for r in rooms], "walls": [{"id": w[0], "start_point": [float(w[1]), float(w[2])], "end_point": [float(w[3]), float(w[4])], "is_exterior": w[5]} for w in walls], "doors": [opening(o) for o in doors], "windows": [opening(o) for o in windows]}
+    schema = spark.read.parquet("/root/testdata/sf0.001/plans.parquet").schema
+    spark.read.schema(schema).json(spark.sparkContext.parallelize([json.dumps(doc)])).write.parquet(str(tmp_path / name / "plans.parquet"))
+    return str(tmp_path / name)
+
+
+def test_room_graph_of_a_small_plan(spark, tmp_path):
+    walls = [("W1", 0, 0, 9000, 0, True), ("W2", 0, 3000, 9000, 3000, True), ("W3", 0, 0, 0, 3000, True), ("W4", 9000, 0, 9000, 3000, True), ("W5", 3000, 0, 3000, 3000, False), ("W6", 7000, 0, 7000, 3000, False)]
+    rooms = [("Room_1", "room_bedroom", 0, 0, 3000, 3000), ("Room_2", "room_living", 3000, 0, 7000, 3000), ("Room_3", "room_bathroom", 7000, 0, 9000, 3000)]
+    doors = [("Door_1", "W5", 3000, 1500, 900, 2000), ("Door_2", "W6", 7000, 1500, 800, 2000), ("Door_3", "W2", 5000, 3000, 1000, 2000), ("Door_4", "W5", 3000, 2500, 900, 2000), ("Door_5", None, 50000, 0, 900, 2000)]
+    windows = [("Window_1", "W3", 0, 1500, 1200, 1000), ("Window_2", "W1", 5000, 0, 1500, 1000), ("Window_3", "W6", 7000, 500, 600, 400)]
+    d = plan_fixture(spark, tmp_path, "one", rooms, walls, doors, windows)
+    q = lambda n: catalogue.queries()[n](spark, d).collect()
+    assert {(r["room_a"], r["room_b"], r["door_id"], r["doors"]) for r in q("graph_edges")} == {("Room_1", "Room_2", "Door_1", 2), ("Room_2", "Room_3", "Door_2", 1)}
+    assert [r["room_id"] for r in q("exit_rooms")] == ["Room_2"]
+    assert ("Door_5", None, None) in {(r["id"], r["room_a"], r["room_b"]) for r in q("room_links")}
+    assert {r["room_id"]: r["path"] for r in q("egress_paths")} == {"Room_1": "Room_1>Room_2", "Room_2": "Room_2", "Room_3": "Room_3>Room_2"}
+    assert all(r["outer"] for r in q("outer_rooms")) and {r["wall_id"]: r["outer"] for r in q("outer_walls")} == {"W1": True, "W2": True, "W3": True, "W4": True, "W5": False, "W6": False}
+    sides = {r["id"]: (r["room_id"], r["outer"]) for r in q("window_sides")}
+    assert sides["Window_1"] == ("Room_1", True) and sides["Window_3"][1] is False
+    assert {r["room_id"]: r["ratio"] for r in q("glazing_ratio")}["Room_1"] == pytest.approx(1.2 / 9)
+    s = q("graph_summary")[0]
+    assert (s["rooms"], s["door_edges"], s["exit_rooms"]) == (3, 2, 1)
+    # A room apart from the others leaves the plan without an outer ring: walls are as flagged, rooms not outer.
+    d = plan_fixture(spark, tmp_path, "two", [*rooms, ("Dark", "room_living", 0, 3500, 4000, 6500)], walls, doors)
+    assert not any(r["outer"] for r in q("outer_rooms")) and {r["wall_id"] for r in q("outer_walls") if r["outer"]} == {"W1", "W2", "W3", "W4"}
+
+
+def test_footprint_with_courtyard(spark):
+    sq = lambda x1, y1, x2, y2: [(float(a), float(b)) for a, b in ((x1, y1), (x2, y1), (x2, y2), (x1, y2))]
+    ring = [("c", sq(0, 0, 3, 1)), ("c", sq(0, 2, 3, 3)), ("c", sq(0, 1, 1, 2)), ("c", sq(2, 1, 3, 2)), ("d", sq(0, 0, 1, 1)), ("d", sq(1, 1, 2, 2))]
+    f = {r["plan_id"]: r for r in greedy.footprint(spark.createDataFrame(ring, "plan_id string, ring array<struct<x:double,y:double>>")).collect()}
+    assert (f["c"]["area"], f["c"]["parts"], len(f["c"]["exterior"])) == (8, 1, 12)
+    assert all(0 in (e[0] % 3, e[1] % 3) for e in f["c"]["exterior"]) and (f["d"]["parts"], f["d"]["exterior"]) == (2, None)
+
+
 def test_upsert_and_latest(spark):
     old = spark.createDataFrame([(1, "a", "t0"), (2, "b", "t0")], "k int, v string, made string")
     new = spark.createDataFrame([(2, "B", "t1"), (3, None, "t1"), (None, "n", "t1")], "k int, v string, made string")
