@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from planweave.functions import geometry as G
 from planweave.operators import graph, keyed, measures, spatial
+from planweave.operators.entities import MEMBERS
 from planweave.sources import elements as E
 from planweave.sources.files import report_rows
 
@@ -36,7 +37,33 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
 # ------------------------------------------------------------------ nested records and quantities
 
 
-@query()
+def _unwrapped(col: str) -> str:
+    return f"CASE WHEN json_valid({col}) AND json_type({col}) = 'VARCHAR' THEN trim(json_extract_string({col}, '$'), ' ') ELSE {col} END"
+
+
+ENTITIES_SQL = f"""e0 AS (SELECT clause_id, trim(entities, ' ') AS t FROM clauses WHERE entities IS NOT NULL), e1 AS (SELECT clause_id, {_unwrapped('t')} AS t FROM e0), e2 AS (SELECT clause_id, {_unwrapped('t')} AS t FROM e1),
+  e3 AS (SELECT clause_id, CAST(t AS JSON) AS j FROM e2 WHERE json_valid(t) AND json_type(t) IN ('OBJECT', 'ARRAY')),
+  e4 AS (SELECT clause_id, CASE WHEN json_type(j) = 'OBJECT' AND len(json_keys(j)) = 1 AND NOT list_contains({MEMBERS!r}, json_keys(j)[1]) AND json_type(json_extract(j, '$.*')[1]) IN ('OBJECT', 'ARRAY') THEN json_extract(j, '$.*')[1] ELSE j END AS j FROM e3),
+  e5 AS (SELECT clause_id, CASE WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[*]') ELSE [j] END AS l FROM e4),
+  ent AS (SELECT clause_id, pos - 1 AS pos, e FROM (SELECT clause_id, unnest(l) AS e, generate_subscripts(l, 1) AS pos FROM e5) WHERE json_type(e) = 'OBJECT')"""
+_CONDITIONS = """con AS (SELECT clause_id, pos, CASE WHEN json_type(c) = 'ARRAY' THEN json_extract(c, '$[*]') WHEN json_type(c) = 'OBJECT' THEN [c] END AS l FROM (SELECT clause_id, pos, CASE WHEN json_type(e, '$.condition') IN ('OBJECT', 'ARRAY') THEN json_extract(e, '$.condition') ELSE json_extract(e, '$.conditions') END AS c FROM ent)),
+  cond AS (SELECT clause_id, pos, k - 1 AS k FROM (SELECT clause_id, pos, unnest(l) AS c, generate_subscripts(l, 1) AS k FROM con) WHERE json_type(c) = 'OBJECT')"""
+_DOCUMENTS = f"""d0 AS (SELECT export_id, trim(payload, ' ') AS t FROM plan_exports WHERE payload IS NOT NULL), d1 AS (SELECT export_id, {_unwrapped('t')} AS t FROM d0),
+  tree AS (SELECT d1.export_id, j.id AS node, j.parent, j.key, j.type, j.value FROM d1, json_tree(CASE WHEN json_valid(d1.t) THEN d1.t ELSE 'null' END) j),
+  own AS (SELECT o.export_id, o.node, CASE WHEN p.key = 'nodes' THEN o.key ELSE json_extract_string(o.value, '$.id') END AS k, o.value AS v FROM tree o LEFT JOIN tree p ON o.export_id = p.export_id AND o.parent = p.node WHERE o.type = 'OBJECT'),
+  lists AS (SELECT export_id, k, CASE WHEN json_type(v, '$.windows') = 'OBJECT' THEN [json_extract(v, '$.windows')] WHEN json_type(v, '$.windows') = 'ARRAY' THEN json_extract(v, '$.windows[*]') END AS w,
+    coalesce(CASE WHEN json_type(v, '$.footprint_polygon') <> 'NULL' THEN json_extract(v, '$.footprint_polygon') END, CASE WHEN json_type(v, '$.footprint') <> 'NULL' THEN json_extract(v, '$.footprint') END, json_extract(v, '$.polygon')) AS p FROM own WHERE k IS NOT NULL),
+  rings AS (SELECT export_id, k, json_extract(CASE WHEN json_type(p) = 'OBJECT' THEN json_extract(p, '$.points') ELSE p END, '$[*]') AS l FROM lists WHERE json_type(p) IN ('OBJECT', 'ARRAY')),
+  corners AS (SELECT export_id, k, list_transform(l, lambda q: CASE WHEN json_type(q) = 'OBJECT' THEN {{'x': CAST(json_extract(q, '$.x') AS DOUBLE), 'y': CAST(json_extract(q, '$.y') AS DOUBLE)}} ELSE {{'x': CAST(json_extract(q, '$[0]') AS DOUBLE), 'y': CAST(json_extract(q, '$[1]') AS DOUBLE)}} END) AS l FROM rings)"""
+_NESTED = f"""WITH {ENTITIES_SQL}, {_CONDITIONS}, {_DOCUMENTS}
+SELECT DISTINCT kind, rec_id, parent_key, child_key FROM (
+SELECT 'entity' AS kind, clause_id AS rec_id, '' AS parent_key, CAST(pos AS VARCHAR) AS child_key FROM ent
+UNION ALL SELECT 'condition', clause_id, CAST(pos AS VARCHAR), CAST(k AS VARCHAR) FROM cond
+UNION ALL SELECT 'window', export_id, k, json_extract_string(w, '$.id') FROM (SELECT export_id, k, unnest(w) AS w FROM lists)
+UNION ALL SELECT 'vertex', export_id, k, CAST(i AS VARCHAR) FROM (SELECT export_id, k, unnest(range(0, CASE WHEN len(l) > 1 AND l[1] = l[-1] THEN len(l) - 1 ELSE len(l) END)) AS i FROM corners)) WHERE child_key IS NOT NULL"""
+
+
+@query(_NESTED)
 def p3_found(spark, d):
     """Flat rows of nested entities, conditions, windows and corners, linked to their record and parent."""
     from planweave.operators.nested import entity_tables, plan_tables
