@@ -64,6 +64,9 @@ def test_same_look_pairs(spark):
     got = {tuple(r) for r in lookalike.same_look(df, "clause_id", ["text_fa", "heading_fa"]).collect()}
     assert got == {("text_fa", 1, 2), ("text_fa", 1, 3), ("text_fa", 4, 5), ("text_fa", 7, 8)}
     assert lookalike.same_look(df.limit(0), "clause_id", ["text_fa"]).count() == 0
+    classes = {(r["field"], r["id"]): (r["class"], r["way"], r["links"]) for r in lookalike.look_classes(df, "clause_id", ["text_fa", "heading_fa"]).collect()}
+    assert classes["text_fa", 1] == (1, 1, 2) and classes["text_fa", 3] == (1, 2, 1) and classes["heading_fa", 3] == (2, 2, 0) and len(classes) == 10
+    assert sum(x[2] for x in classes.values()) == 2 * len(got)
     out = lookalike.with_consistent(df, ["text_fa"])
     assert out.where("clause_id = 1").first()["text_fa_consistent"] == "کتاب" and "text_fa_consistent" not in df.columns
     with pytest.raises(ValueError):
@@ -220,6 +223,22 @@ def test_canonical_values(spark, data):
     assert {r["term_id"] for r in canon.canonical_entities(df, terms.limit(0)).collect()} == {0}
 
 
+def test_long_lists_and_bare_wording(spark):
+    # More entries than any list that was once broadcast, and values one or two letters off.
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(7, 14)))
+    words = sorted({word() for _ in range(2000)})
+    terms = spark.createDataFrame([(i + 1, "element", w, None, None) for i, w in enumerate(words)], "term_id long, kind string, term string, term_fa string, aliases array<string>")
+    many = spark.range(100_000).selectExpr("id + 10000 as term_id", "'element' as kind", "concat('zz', hex(id), 'qqqqqq') as term", "cast(null as string) as term_fa", "cast(null as array<string>) as aliases")
+    picked = rng.sample(range(2000), 60)
+    typed = [words[i][:3] + words[i][4:] if k % 2 else words[i][:2] + "x" + words[i][2:] for k, i in enumerate(picked)] + ["the " + words[0], "none such 5"]
+    df = spark.createDataFrame([(k, json.dumps({"object": v})) for k, v in enumerate(typed)], "clause_id long, entities string")
+    got = {r["clause_id"]: r["term_id"] for r in canon.canonical_entities(df, terms.unionByName(many)).collect()}
+    assert [got[k] for k in range(60)] == [i + 1 for i in picked] and got[60] == 1 and got[61] == 0
+    bare = {r["clause_id"]: r["term_id"] for r in canon.canonical_entities(df, terms, canon.BARE).collect()}
+    assert [bare[k] for k in range(60)] == [i + 1 for i in picked] and bare[60] == 0
+
+
 def test_bracketed_values_have_rows(spark, data):
     values = ["[door]", "[bedroom", "[bedroom]", "[1] fish pond", "[", "[]]", ["bedrom", "fish pond"], [], [None]]
     df = spark.createDataFrame([(i, json.dumps({"object": v})) for i, v in enumerate(values)], "clause_id long, entities string")
@@ -299,6 +318,31 @@ def test_batch_search_keeps_ties_and_blocks(spark):
     assert top_k_batch(df, "id", "v", 2, F.col("id") < 0, 5).count() == 0
 
 
+def test_full_cells_are_split(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(size=128) + 0.05 * rng.normal(size=(300, 128)), rng.normal(size=(100, 128))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    whole = {tuple(r) for r in knn.similar_pairs(df, "vec_id", "embedding").collect()}
+    monkeypatch.setattr(knn, "CELL_ROWS", 7)
+    units = df.mapInArrow(lambda b: knn.unit_batches(128)(b), "id long, h1 long, h2 long, unit binary").select("id", "unit").toArrow()
+    plan = knn.Plan(128, 11, 3, knn.PROBES, knn.WIDTH, 1, 0, 11)
+
+    class Shipped:
+        def __init__(self, value):
+            self.value = value
+
+    counts = next(knn.cell_counts(Shipped(plan), 128)(units.to_batches()))
+    log = np.zeros(knn.BINS, np.uint8)
+    log[counts["word"].to_numpy() * 64 + counts["bit"].to_numpy()] = np.round(np.log2(counts["count"].to_numpy()) * 8)
+    assert 2 ** (log.max() / 8) > 100
+    met = []
+    for cells in (None, Shipped(log)):
+        blobs = list(knn.key_batches(Shipped(plan), 128, cells)(units.to_batches()))
+        pairs = [neardup.pairs_of(b) for batch in knn.meeting_batches(256, 1)(blobs) for b in batch.column(1).to_pylist()]
+        met.append({(int(p[1]), int(p[2])) for p in np.concatenate(pairs)})
+    assert met[0] == met[1] and whole <= met[0]
+
+
 def test_vectors_edge_cases(spark):
     e = [1.0] + [0.0] * 127
     rows = [(i, e) for i in range(20)] + [(30, [0.0] * 128), (31, None), (32, e[:5]), (33, [float("nan"), *e[1:]]), (34, [2.0, *e[1:]]), (35, [0.0, 1.0, *e[2:]])]
