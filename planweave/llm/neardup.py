@@ -352,9 +352,9 @@ def index(plan: Plan, el: np.ndarray, off: np.ndarray, n: np.ndarray):
     return tuple(np.concatenate([x[k] for x in out]) for k in range(3))
 
 
-def _salted(rows, hashes, least, ids, every: bool):
-    """Subsets expected in very many texts, spread over salts: index rows by id, probes to each."""
-    salts = np.maximum(1, np.ceil(least / SALT_ROWS)).astype(np.int64)
+def _salted(rows, hashes, least, ids, every: bool, most: int = SALT_ROWS):
+    """Keys expected in more rows than ``most``, spread over salts: index rows by id, probes to each."""
+    salts = np.maximum(1, np.ceil(least / most)).astype(np.int64)
     if every:
         copies = np.repeat(np.arange(len(rows)), salts)
         which = np.arange(len(copies)) - np.repeat(np.cumsum(salts) - salts, salts)
@@ -640,13 +640,31 @@ def _verified(t: float):
 
 
 def _bins_of(batches):
-    """Counts of the bins of each partition's elements; a partition sends each bin once."""
+    """Counts of the bins of each partition's elements."""
     counts = np.zeros(BINS, np.int64)
     for batch in batches:
         el, _ = _read_blobs(batch.column(3), np.uint32)
         counts += np.bincount((el & np.uint32(BINS - 1)).astype(np.int64), minlength=BINS)
+    yield count_batch(counts)
+
+
+COUNTS = "word int, bit int, count long"
+
+
+def log_counts(counts: DataFrame) -> np.ndarray:
+    """Eight times the binary logarithm of the sum of counts of each bin; one row of 64 bins each, BINS values at most, whatever the input."""
+    out = np.zeros(BINS, np.uint8)
+    sums = counts.groupBy("word", "bit").agg(F.sum("count").alias("count"))
+    got = sums.groupBy("word").agg(F.collect_list("bit").alias("bit"), F.collect_list(F.round(F.log2("count") * 8).cast("int")).alias("log")).toArrow()
+    w = np.repeat(got["word"].to_numpy(), np.diff(got["bit"].combine_chunks().offsets.to_numpy()))
+    out[w.astype(np.int64) * 64 + got["bit"].combine_chunks().flatten().to_numpy()] = got["log"].combine_chunks().flatten().to_numpy()
+    return out
+
+
+def count_batch(counts: np.ndarray) -> pa.RecordBatch:
+    """Counts of the bins of a partition; a partition sends each bin once."""
     at = np.flatnonzero(counts)
-    yield pa.record_batch([pa.array((at >> 6).astype(np.int32)), pa.array((at & 63).astype(np.int32)), pa.array(counts[at])], names=["word", "bit", "count"])
+    return pa.record_batch([pa.array((at >> 6).astype(np.int32)), pa.array((at & 63).astype(np.int32)), pa.array(counts[at])], names=["word", "bit", "count"])
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_cols: list[str], threshold: float = 0.8, run: int = 5, extra: int = 0):
@@ -673,17 +691,14 @@ def near_duplicates(df: DataFrame, id_col: str, text_cols: list[str], threshold:
     unsure = _sifted(carriers, "id", copies, True).join(classes.where("id = rep").select("field", "id"), ["field", "id"])
     sets = _sifted(carriers, "id", copies, False).unionByName(stored(unsure.select("field", "id", "n", "elements"), "unsure"))
 
+    freed(spark)
+
     sizes: dict[int, int] = {}
     for r in sets.groupBy(F.when(F.col("n") < 4096, F.col("n")).otherwise(F.floor(F.exp(F.floor(F.log("n") * 64) / 64)).cast("int")).alias("n")).count().collect():
         sizes[r["n"]] = sizes.get(r["n"], 0) + r["count"]
     if not sizes:
         return classes, spark.createDataFrame([], "field int, rep_a long, rep_b long, similarity double")
-    counts = sets.mapInArrow(_bins_of, "word int, bit int, count long").groupBy("word", "bit").agg(F.sum("count").alias("count"))
-    # One row of 64 bins each: the result has BINS values at most, whatever the input.
-    log_df = np.zeros(BINS, np.uint8)
-    got = counts.groupBy("word").agg(F.collect_list("bit").alias("bit"), F.collect_list(F.round(F.log2("count") * 8).cast("int")).alias("log")).toArrow()
-    w = np.repeat(got["word"].to_numpy(), np.diff(got["bit"].combine_chunks().offsets.to_numpy()))
-    log_df[w.astype(np.int64) * 64 + got["bit"].combine_chunks().flatten().to_numpy()] = got["log"].combine_chunks().flatten().to_numpy()
+    log_df = log_counts(sets.mapInArrow(_bins_of, COUNTS))
     total = sum(sizes.values())
     lows, segments = bands(sizes, threshold)
     mean = sum(k * v for k, v in sizes.items()) / total

@@ -20,6 +20,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(name.alias("field"), F.col("a").alias("clause_a"), F.col("b").alias("clause_b"))
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with its class of equal wording and the number of texts its wording is nearly the same as, at five words and a similarity of 0.8."""
+    from planweave.llm.neardup import class_links, near_duplicates
+
+    fields = ["text_fa", "text_en"]
+    rows = class_links(*near_duplicates(_read(spark, d, "clauses"), "clause_id", fields))
+    name = F.element_at(F.array(*map(F.lit, fields)), F.col("field") + 1)
+    return rows.select(name.alias("field"), F.col("id").alias("clause_id"), "rep", "links")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """The reference entry each freely typed subject, object and relation means, or 0."""
     from planweave.llm.canon import canonical_entities
@@ -50,6 +60,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("field", F.col("a").alias("clause_a"), F.col("b").alias("clause_b"))
 
 
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with the class of those that look like it and the number of those stored otherwise."""
+    from planweave.llm.lookalike import look_classes
+
+    return look_classes(_read(spark, d, "clauses"), "clause_id", ["text_fa", "heading_fa"]).withColumnRenamed("id", "clause_id")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents and the held-out items whose passages they hold."""
     from planweave.llm.leak import leaks
@@ -98,4 +115,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the exact queries, from their definitions; those that are approximate or learn have none."""
+    from planweave.llm.sql import SQL
+
+    return dict(SQL)
