@@ -530,9 +530,9 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _all() -> list:
-    from planweave.plans import rooms, tables
+    from planweave.plans import rooms, shapes, tables
 
-    return [(QUERIES, SQL), (rooms.QUERIES, rooms.SQL), (tables.QUERIES, tables.SQL)]
+    return [(QUERIES, SQL), *((m.QUERIES, m.SQL) for m in (rooms, tables, shapes))]
 
 
 def queries() -> dict:
