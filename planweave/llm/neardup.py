@@ -38,7 +38,7 @@ from planweave.llm.consistent import _M1, consistent_points, mix, runs, slices,
 
 BINS = 1 << 20
 TINY = 8
-SALT_ROWS = 100_000
+SALT_ROWS = 16_384
 NEAR = 6
 #: Sizes are counted as they are below the first, above it rounded down by at most the second (and to an integer).
 SIZES_EXACT, SIZE_STEP = 4096, math.exp(1 / 64)

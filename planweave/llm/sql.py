@@ -9,7 +9,7 @@ from __future__ import annotations
 import unicodedata
 
 from planweave.llm import canon
-from planweave.llm.consistent import ARABIC_FORMS, CONTROL_BLANKS, EXTRA_COMPOSITIONS, INVISIBLE, LOOKALIKES, MINUS, SAME_LOOK, ZWNJ, expand
+from planweave.llm.consistent import ARABIC_FORMS, EXTRA_COMPOSITIONS, ZWNJ, expand
 from planweave.plans.catalogue import ENTITIES_SQL
 
 
@@ -48,7 +48,6 @@ def _tables() -> tuple[str, str, str, list[tuple[str, str]]]:
 def form(text: str) -> str:
     """SQL of the consistent form of a text."""
     source, target, gone, longer = _tables()
-    # Blanks and format characters of no block above.
     s = f"nfc_normalize({text})"
     for c, out in longer:
         if c.isalpha():
@@ -64,9 +63,6 @@ def form(text: str) -> str:
     return f"trim(regexp_replace({s}, ' +', ' ', 'g'), ' ')"
 
 
-_USED = (CONTROL_BLANKS, INVISIBLE, LOOKALIKES, MINUS, SAME_LOOK)
-
-
 def _words(text: str) -> str:
     return f"regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{M}}\\p{{N}}{chr(ZWNJ)}]+')"
 

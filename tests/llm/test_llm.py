@@ -526,3 +526,35 @@ def test_language_accuracy_and_segments(spark):
     held = language.languages(docs, model=model).where("n_segments = 1 and label is not null")
     n = held.count()
     assert held.where("label = lang").count() > 0.85 * n
+
+
+# ------------------------------------------------------------------ queries against their SQL
+
+
+@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p4_nearest", "p6_found", "p7_found"])
+def test_queries_against_sql(spark, data, name):
+    import glob
+    import os
+
+    import duckdb
+
+    from planweave.llm.queries import oracle_sql, queries
+
+    con = duckdb.connect()
+    for p in glob.glob(data + "/*.parquet"):
+        con.sql(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
+    df = queries()[name](spark, data)
+    cols = sorted(df.columns)
+    rel = con.sql(oracle_sql()[name])
+    at = [rel.columns.index(c) for c in cols]
+    assert sorted(repr(tuple(r[c] for c in cols)) for r in df.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in rel.fetchall())
+
+
+def test_class_queries(spark, data):
+    from planweave.llm.queries import queries
+
+    q = queries()
+    links_ = q["p1_classes"](spark, data).collect()
+    assert len({(r["field"], r["clause_id"]) for r in links_}) == len(links_) and all(r["links"] >= 0 for r in links_)
+    looks = q["p6_classes"](spark, data).collect()
+    assert sum(r["links"] for r in looks) == 2 * q["p6_found"](spark, data).count()
