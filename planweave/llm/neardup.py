@@ -62,6 +62,28 @@ def _unique_rows(values: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nd
     return values[keep], np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=n))])
 
 
+def spread(number: np.ndarray) -> np.ndarray:
+    """The int that Spark's hash partitioning sends to the partition of a number, if there are more partitions than that.
+
+    Numbers from 0 on as they are would fall together by chance, several to a task and none to others.  Spark hashes
+    an int by a 32-bit finaliser that can be run backwards; the hash looked for is the number itself.
+    """
+    mask = 0xFFFFFFFF
+    turned = lambda x, k: ((x << np.uint64(k)) | (x >> np.uint64(32 - k))) & np.uint64(mask)
+    over = lambda x, c: (x * np.uint64(pow(c, -1, 1 << 32))) & np.uint64(mask)
+    h = np.asarray(number).astype(np.uint64) & np.uint64(mask)
+    h ^= h >> np.uint64(16)
+    h = over(h, 0xC2B2AE35)
+    h ^= (h >> np.uint64(13)) ^ (h >> np.uint64(26))
+    h = over(h, 0x85EBCA6B)
+    h ^= h >> np.uint64(16)
+    h ^= np.uint64(4)
+    h = over((h - np.uint64(0xE6546B64)) & np.uint64(mask), 5)
+    k = turned(h, 19) ^ np.uint64(42)
+    k = over(turned(over(k, 0x1B873593), 17), 0xCC9E2D51)
+    return k.astype(np.uint32).view(np.int32)
+
+
 def in_order(key: np.ndarray) -> np.ndarray:
     """Order of unsigned keys, stable; keys short enough are sorted with their places in one number, which is faster."""
     bits = max(1, len(key).bit_length())
@@ -464,7 +486,7 @@ def signature_batches(shipped, fallback=None):
             for bucket, blob in _packed(plan, probe, indexed, field, ids, n, bits, hits):
                 buckets.append(bucket)
                 blobs.append(blob)
-            yield pa.record_batch([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+            yield pa.record_batch([pa.array(spread(np.array(buckets, np.int64))), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     return over
 
@@ -569,7 +591,7 @@ def pair_batch(part: np.ndarray, field: np.ndarray, x: np.ndarray, y: np.ndarray
     """Pairs ordered by (part, field, x, y) as one blob per part."""
     cut = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
     blobs = [pair_blob(field[p:q], x[p:q], y[p:q], need[p:q]) for p, q in zip(cut[:-1], cut[1:])]
-    return pa.record_batch([pa.array(part[cut[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "blob"])
+    return pa.record_batch([pa.array(spread(part[cut[:-1]])), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
 
 def pair_blob(field: np.ndarray, x: np.ndarray, y: np.ndarray, need: np.ndarray) -> bytes:

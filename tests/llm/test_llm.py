@@ -192,6 +192,14 @@ def test_kept_sizes_are_not_below_their_bound(spark):
     assert (rows["n"].to_numpy() >= neardup.least_kept(rows["id"].to_numpy())).all()
 
 
+def test_buckets_have_partitions_of_their_own(spark):
+    for n in (1, 2, 6, 97, 5000):
+        df = spark.createDataFrame([(k, int(x)) for k, x in enumerate(neardup.spread(np.arange(n)))], "k int, b int")
+        assert df.where(F.pmod(F.hash("b"), F.lit(n)) != F.col("k")).count() == 0
+    df = spark.createDataFrame([(int(x),) for x in neardup.spread(np.arange(9))], "b int").repartition(9, "b")
+    assert df.select(F.spark_partition_id()).distinct().count() == 9
+
+
 def test_packing():
     rng = np.random.default_rng(1)
     arrays = [rng.integers(-(2**63), 2**63 - 1, 50), np.zeros(0, np.int64), np.full(7, -3), rng.integers(0, 300, 99)]
