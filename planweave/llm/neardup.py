@@ -43,7 +43,7 @@ NEAR = 6
 #: Sizes are counted as they are below the first, above it rounded down by at most the second (and to an integer).
 SIZES_EXACT, SIZE_STEP = 4096, math.exp(1 / 64)
 #: Subset rows of a bucket, which one task holds packed.
-BUCKET_ROWS = 3_000_000
+BUCKET_ROWS = 4_500_000
 SIG_MASK = (1 << 24) - 1
 
 
@@ -155,9 +155,9 @@ def element_batches(run: int):
 _ELEMENTS = "field int, id long, h1 long, h2 long, n int, elements binary"
 
 
-def _bit_table(df: DataFrame, key: str) -> np.ndarray:
-    """A filter of 4 million bits over the values of a column; its size is fixed, a value that is in it is always found."""
-    mixed = F.pmod(F.xxhash64(key), F.lit(1 << 22))
+def _bit_table(df: DataFrame, *key: str) -> np.ndarray:
+    """A filter of 4 million bits over the values of columns; its size is fixed, values that are in it are always found."""
+    mixed = F.pmod(F.xxhash64(*key), F.lit(1 << 22))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(mixed, F.lit(64)).cast("int"))
     got = df.groupBy(F.shiftright(mixed, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
     table = np.zeros(1 << 16, np.int64)
@@ -165,7 +165,7 @@ def _bit_table(df: DataFrame, key: str) -> np.ndarray:
     return table
 
 
-def _sifted(df: DataFrame, key: str, shipped, inside: bool) -> DataFrame:
+def _sifted(df: DataFrame, key: str | list[str], shipped, inside: bool) -> DataFrame:
     """Rows whose key may be in the filter, or rows whose key is surely not in it."""
 
     def over(batches):
@@ -174,7 +174,7 @@ def _sifted(df: DataFrame, key: str, shipped, inside: bool) -> DataFrame:
             hit = ((shipped.value[k >> 6] >> (k & 63)) & 1).astype(bool)
             yield b.filter(pa.array(hit if inside else ~hit))
 
-    with_key = df.withColumn("k", F.pmod(F.xxhash64(key), F.lit(1 << 22)))
+    with_key = df.withColumn("k", F.pmod(F.xxhash64(*([key] if isinstance(key, str) else key)), F.lit(1 << 22)))
     return with_key.mapInArrow(over, with_key.schema).drop("k")
 
 
@@ -740,11 +740,9 @@ def near_duplicates(df: DataFrame, id_col: str, text_cols: list[str], threshold:
         pairs = pairs.unionByName(candidates(spark.sparkContext.broadcast(needed))).distinct()
     pairs = stored(pairs, "candidates")
     freed(spark)
-    # A filter of the ids met keeps most elements out of the verifying joins.
-    met = spark.sparkContext.broadcast(_bit_table(pairs.select(F.explode(F.array("x", "y")).alias("id")), "id"))
-    small = _sifted(carriers.drop("n"), "id", met, True)
-    x = small.select("field", F.col("id").alias("x"), F.col("elements").alias("ex"))
-    y = small.select("field", F.col("id").alias("y"), F.col("elements").alias("ey"))
+    # A filter of the texts met on either side keeps most elements out of the verifying joins.
+    met = {s: spark.sparkContext.broadcast(_bit_table(pairs, "field", s)) for s in "xy"}
+    x, y = (_sifted(carriers.select("elements", "field", "id"), ["field", "id"], met[s], True).select("field", F.col("id").alias(s), F.col("elements").alias(f"e{s}")) for s in "xy")
     joined = pairs.join(x, ["field", "x"]).join(y, ["field", "y"]).select("field", "x", "y", "ex", "ey")
     links = joined.mapInArrow(_verified(threshold), "field int, x long, y long, similarity double")
     return classes, links.select("field", F.least("x", "y").alias("rep_a"), F.greatest("x", "y").alias("rep_b"), "similarity")

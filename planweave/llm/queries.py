@@ -44,6 +44,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return similar_pairs(_read(spark, d, "clause_vectors"), "vec_id", "embedding", dim=128, k=10, floor=0.9).select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"))
 
 
+def p4_similar(spark: SparkSession, d: str) -> DataFrame:
+    """The most similar vectors of each vector, ten at most, with their cosine, from a cosine of 0.90."""
+    from planweave.llm.knn import nearest
+
+    return nearest(_read(spark, d, "clause_vectors"), "vec_id", "embedding", dim=128, k=10, floor=0.9).select(F.col("a").alias("vec_id"), F.col("b").alias("neighbour"), "similarity")
+
+
 def p4_nearest(spark: SparkSession, d: str) -> DataFrame:
     """The ten vectors most similar to each whose id is divisible by 100, among all rows and however far: exact."""
     from planweave.operators.measures import top_k_batch

@@ -332,7 +332,7 @@ def test_full_cells_are_split(spark, monkeypatch):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     whole = {tuple(r) for r in knn.similar_pairs(df, "vec_id", "embedding").collect()}
     monkeypatch.setattr(knn, "CELL_ROWS", 7)
-    units = df.mapInArrow(lambda b: knn.unit_batches(128)(b), "id long, h1 long, h2 long, unit binary").select("id", "unit").toArrow()
+    units = df.mapInArrow(lambda b: knn.unit_batches(128)(b), "id long, h1 long, h2 long, unit array<float>").select("id", "unit").toArrow()
     plan = knn.Plan(128, 11, 3, knn.PROBES, knn.WIDTH, 1, 0, 11)
 
     class Shipped:
