@@ -740,9 +740,11 @@ def near_duplicates(df: DataFrame, id_col: str, text_cols: list[str], threshold:
         pairs = pairs.unionByName(candidates(spark.sparkContext.broadcast(needed))).distinct()
     pairs = stored(pairs, "candidates")
     freed(spark)
-    # A filter of the texts met on either side keeps most elements out of the verifying joins.
-    met = {s: spark.sparkContext.broadcast(_bit_table(pairs, "field", s)) for s in "xy"}
-    x, y = (_sifted(carriers.select("elements", "field", "id"), ["field", "id"], met[s], True).select("field", F.col("id").alias(s), F.col("elements").alias(f"e{s}")) for s in "xy")
+    # A filter of the texts met keeps the others' elements out of the verifying joins; one filter for both sides, so that they share one shuffle.
+    met = spark.sparkContext.broadcast(_bit_table(pairs.select("field", F.explode(F.array("x", "y")).alias("id")), "field", "id"))
+    small = _sifted(carriers.drop("n"), ["field", "id"], met, True)
+    x = small.select("field", F.col("id").alias("x"), F.col("elements").alias("ex"))
+    y = small.select("field", F.col("id").alias("y"), F.col("elements").alias("ey"))
     joined = pairs.join(x, ["field", "x"]).join(y, ["field", "y"]).select("field", "x", "y", "ex", "ey")
     links = joined.mapInArrow(_verified(threshold), "field int, x long, y long, similarity double")
     return classes, links.select("field", F.least("x", "y").alias("rep_a"), F.greatest("x", "y").alias("rep_b"), "similarity")
