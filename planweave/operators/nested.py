@@ -110,8 +110,12 @@ _LAYOUTS = (
 )
 
 
-def plan_elements(exports: DataFrame, id_col: str = "export_id", column: str = "payload") -> DataFrame:
-    """(rec_id, parents): per complete document, its rooms, slabs and stairs with corners and window keys, whatever its layout."""
+_WINDOW_KEYS = "array<struct<id:string>>"
+_WINDOWS = "array<struct<id:string,width:double,height:double,sill_height:double>>"
+
+
+def plan_elements(exports: DataFrame, id_col: str = "export_id", column: str = "payload", windows: str = _WINDOW_KEYS) -> DataFrame:
+    """(rec_id, parents): per complete document, its rooms, slabs and stairs with corners and windows, whatever its layout."""
     doc = exports.select(F.col(id_col).cast("long").alias("rec_id"), F.col(column).alias("_p")).where("_p is not null and rec_id is not null")
     doc = with_json_text(doc, "_p", "payload").where("payload is not null").select("rec_id", F.from_json("payload", _LAYOUTS).alias("d"))
 
@@ -137,10 +141,81 @@ def plan_elements(exports: DataFrame, id_col: str = "export_id", column: str = "
     doc = doc.select("rec_id", all_.alias("all"))
     texts = F.transform("all", lambda p: F.struct(p["key"].alias("key"), _corner_text(p["polygon"]).alias("corners"), p["windows"].alias("windows")))
     doc = doc.select("rec_id", texts.alias("all"))
-    typed = F.transform("all", lambda p: F.struct(p["key"].alias("key"), _points(p["corners"]).alias("points"), F.transform(_listed(p["windows"], "array<struct<id:string>>"), lambda w: w["id"]).alias("windows")))
+    typed = F.transform("all", lambda p: F.struct(p["key"].alias("key"), _points(p["corners"]).alias("points"), _listed(p["windows"], windows).alias("windows")))
     return doc.select("rec_id", typed.alias("parents"))
 
 
+def _open_corners(p: np.ndarray, corners: pa.Array, place: np.ndarray, parents: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which corners count (not a last one equal to the first), and their coordinates."""
+    x, y = (pc.struct_field(corners, k).to_numpy(zero_copy_only=False) for k in "xy")
+    n = np.bincount(p, minlength=parents)
+    first = np.flatnonzero(place == 0)
+    last = first + n[p[first]] - 1
+    keep = np.ones(len(p), bool)
+    keep[last[(n[p[first]] > 1) & (x[first] == x[last]) & (y[first] == y[last])]] = False
+    return keep, x, y
+
+
+def window_rows(exports: DataFrame, id_col: str = "export_id", column: str = "payload") -> DataFrame:
+    """(rec_id, parent_key, place, child_key, width, height, sill_height): the windows of each room with their values; all but the keys may be null."""
+
+    def over(batches):
+        for batch in batches:
+            owner, parents, _ = children(batch.column(1))
+            if not len(parents):
+                continue
+            p, windows, place = children(pc.struct_field(parents, "windows"))
+            if not len(windows):
+                continue
+            values = [pc.struct_field(windows, k) for k in ("id", "width", "height", "sill_height")]
+            out = pa.record_batch([batch.column(0).take(pa.array(owner[p])), pc.struct_field(parents, "key").take(pa.array(p)), pa.array(place), *values], names=["rec_id", "parent_key", "place", "child_key", "width", "height", "sill_height"])
+            yield out.filter(pc.and_(pc.is_valid(out["parent_key"]), pc.is_valid(out["child_key"])))
+
+    return plan_elements(exports, id_col, column, _WINDOWS).mapInArrow(over, "rec_id long, parent_key string, place long, child_key string, width double, height double, sill_height double").distinct()
+
+
+def vertex_rows(exports: DataFrame, id_col: str = "export_id", column: str = "payload") -> DataFrame:
+    """(rec_id, parent_key, place, x, y): the corners of each room, slab and stair; a last one equal to the first is left out."""
+
+    def over(batches):
+        for batch in batches:
+            owner, parents, _ = children(batch.column(1))
+            if not len(parents):
+                continue
+            p, corners, place = children(pc.struct_field(parents, "points"))
+            if not len(corners):
+                continue
+            keep, x, y = _open_corners(p, corners, place, len(parents))
+            at = np.flatnonzero(keep)
+            own = p[at]
+            out = pa.record_batch([batch.column(0).take(pa.array(owner[own])), pc.struct_field(parents, "key").take(pa.array(own)), pa.array(place[at]), pa.array(x[at], from_pandas=True), pa.array(y[at], from_pandas=True)], names=["rec_id", "parent_key", "place", "x", "y"])
+            yield out.filter(pc.is_valid(out["parent_key"]))
+
+    return plan_elements(exports, id_col, column).mapInArrow(over, "rec_id long, parent_key string, place long, x double, y double").distinct()
+
+
+VALUES = ("subject", "relation", "object", "property", "comparator", "value", "unit")
+
+
+def entity_rows(clauses: DataFrame, id_col: str = "clause_id", column: str = "entities") -> DataFrame:
+    """(rec_id, place, subject ... unit): the entities of each clause with their members as text; what is no text or number is JSON."""
+    base = clauses.select(F.col(id_col).cast("long").alias("rec_id"), F.col(column).alias("_e")).where("rec_id is not null and _e is not null")
+    base = with_entity_texts(base, "_e", "texts").where("texts is not null")
+    schema = ", ".join(f"{v} string" for v in VALUES)
+    member = F.transform("texts", lambda e: F.struct(F.coalesce(e.startswith("{"), F.lit(False)).alias("is_object"), F.when(e.startswith("{"), F.from_json(e, schema)).alias("v")))
+
+    def over(batches):
+        for batch in batches:
+            parent, members, place = children(batch.column(1))
+            if not len(members):
+                continue
+            at = pa.array(np.flatnonzero(pc.struct_field(members, "is_object").to_numpy(zero_copy_only=False).astype(bool)))
+            values = pc.struct_field(members, "v")
+            yield pa.record_batch([batch.column(0).take(pa.array(parent).take(at)), pa.array(place).take(at), *(pc.struct_field(values, v).take(at) for v in VALUES)], names=["rec_id", "place", *VALUES])
+
+    return base.select("rec_id", member.alias("members")).mapInArrow(over, f"rec_id long, place long, {schema}")
+
+
 def plan_tables(exports: DataFrame, id_col: str = "export_id", column: str = "payload") -> DataFrame:
     """Rows of kind window and vertex: the windows of each room, the corners of each room, slab and stair."""
 
@@ -152,17 +227,12 @@ def plan_tables(exports: DataFrame, id_col: str = "export_id", column: str = "pa
                 continue
             keys = pc.struct_field(parents, "key")
             p, windows, _ = children(pc.struct_field(parents, "windows"))
-            yield _distinct("window", rec.take(pa.array(owner[p])), keys.take(pa.array(p)), windows)
+            if len(windows):
+                yield _distinct("window", rec.take(pa.array(owner[p])), keys.take(pa.array(p)), pc.struct_field(windows, "id"))
             p, corners, place = children(pc.struct_field(parents, "points"))
             if not len(corners):
                 continue
-            x, y = (pc.struct_field(corners, k).to_numpy(zero_copy_only=False) for k in "xy")
-            n = np.bincount(p, minlength=len(parents))
-            first = np.flatnonzero(place == 0)
-            last = first + n[p[first]] - 1
-            closing = last[(n[p[first]] > 1) & (x[first] == x[last]) & (y[first] == y[last])]
-            keep = np.ones(len(p), bool)
-            keep[closing] = False
+            keep, _, _ = _open_corners(p, corners, place, len(parents))
             yield _distinct("vertex", rec.take(pa.array(owner[p[keep]])), keys.take(pa.array(p[keep])), _text(place[keep]))
 
     return plan_elements(exports, id_col, column).mapInArrow(over, SCHEMA)

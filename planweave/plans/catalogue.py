@@ -71,6 +71,36 @@ def p3_found(spark, d):
     return entity_tables(_read(spark, d, "clauses")).unionByName(plan_tables(_read(spark, d, "plan_exports")))
 
 
+@query(f"""WITH {ENTITIES_SQL} SELECT clause_id, CAST(pos AS BIGINT) AS pos, json_extract_string(e, '$.property') AS property, json_extract_string(e, '$.comparator') AS comparator, json_extract_string(e, '$.unit') AS unit,
+  CASE WHEN json_type(e, '$.value') NOT IN ('ARRAY', 'OBJECT', 'NULL') THEN json_extract_string(e, '$.value') END AS value FROM ent""")
+def p3_entities(spark, d):
+    """Entities of clauses with their single values, keyed by clause and place."""
+    from planweave.operators.nested import entity_rows
+
+    e = entity_rows(_read(spark, d, "clauses"))
+    plain = F.when(~F.col("value").rlike(r"^[\[{]"), F.col("value"))
+    return e.select(F.col("rec_id").alias("clause_id"), F.col("place").alias("pos"), "property", "comparator", "unit", plain.alias("value"))
+
+
+@query(f"""WITH {_DOCUMENTS} SELECT DISTINCT export_id, k AS room_id, CAST(i - 1 AS BIGINT) AS place, json_extract_string(w, '$.id') AS window_id, CAST(json_extract(w, '$.width') AS DOUBLE) AS width, CAST(json_extract(w, '$.height') AS DOUBLE) AS height
+  FROM (SELECT export_id, k, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM lists) WHERE json_extract_string(w, '$.id') IS NOT NULL""")
+def p3_windows(spark, d):
+    """Windows of exported rooms with their size, keyed by export, room and place."""
+    from planweave.operators.nested import window_rows
+
+    w = window_rows(_read(spark, d, "plan_exports"))
+    return w.select(F.col("rec_id").alias("export_id"), F.col("parent_key").alias("room_id"), "place", F.col("child_key").alias("window_id"), "width", "height")
+
+
+@query(f"""WITH {_DOCUMENTS} SELECT DISTINCT export_id, k AS element_id, CAST(i - 1 AS BIGINT) AS place, p.x AS x, p.y AS y FROM (SELECT export_id, k, unnest(l) AS p, generate_subscripts(l, 1) AS i, l[1] AS f, len(l) AS n FROM corners) WHERE NOT (i = n AND n > 1 AND p = f)""")
+def p3_vertices(spark, d):
+    """Corners of exported rooms, slabs and stairs with their coordinates, keyed by export, element and place."""
+    from planweave.operators.nested import vertex_rows
+
+    v = vertex_rows(_read(spark, d, "plan_exports"))
+    return v.select(F.col("rec_id").alias("export_id"), F.col("parent_key").alias("element_id"), "place", "x", "y")
+
+
 @query()
 def p5_found(spark, d):
     """Lengths and areas of clauses and findings in whole mm and mm²."""
