@@ -9,6 +9,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from planweave.functions.shared import partitions
+
+
+def _groups(df: DataFrame, *keys: str):
+    """df grouped by keys over as many tasks as a shuffle has: a group costs far more time than its bytes tell, by which small partitions would be joined to one."""
+    return df.repartition(partitions(df.sparkSession), *keys).groupBy(*keys)
+
 
 def _ious(b: np.ndarray, rest: np.ndarray) -> np.ndarray:
     w = np.clip(np.minimum(b[2], rest[:, 2]) - np.maximum(b[0], rest[:, 0]), 0, None)
@@ -36,7 +43,7 @@ def suppress(boxes: DataFrame, keys: list[str], threshold: float) -> DataFrame:
         return pdf.iloc[keep]
 
     df = boxes.select(*columns).dropna()
-    return df.groupBy(*keys).applyInPandas(one, df.schema)
+    return _groups(df, *keys).applyInPandas(one, df.schema)
 
 
 def radius_dedup(points: DataFrame, key: str, radius: float) -> DataFrame:
@@ -51,7 +58,7 @@ def radius_dedup(points: DataFrame, key: str, radius: float) -> DataFrame:
         return pdf.iloc[kept]
 
     df = points.select(key, "ord", "x", "y").dropna()
-    return df.groupBy(key).applyInPandas(one, df.schema)
+    return _groups(df, key).applyInPandas(one, df.schema)
 
 
 def match(predicted: DataFrame, truth: DataFrame, key: str, threshold: float) -> DataFrame:
@@ -74,7 +81,7 @@ def match(predicted: DataFrame, truth: DataFrame, key: str, threshold: float) ->
 
     kind = dict(predicted.dtypes)
     schema = f"{key} {kind[key]}, id {kind['id']}, truth_id {dict(truth.dtypes)['id']}, iou double"
-    return predicted.groupBy(key).cogroup(truth.groupBy(key)).applyInPandas(one, schema)
+    return _groups(predicted, key).cogroup(_groups(truth, key)).applyInPandas(one, schema)
 
 
 def chain(points: DataFrame, key: str) -> DataFrame:
@@ -91,7 +98,7 @@ def chain(points: DataFrame, key: str) -> DataFrame:
         return pdf.assign(place=place)
 
     df = points.select(key, "ord", "x", "y").dropna()
-    return df.groupBy(key).applyInPandas(one, f"{key} {dict(df.dtypes)[key]}, ord {dict(df.dtypes)['ord']}, x double, y double, place long")
+    return _groups(df, key).applyInPandas(one, f"{key} {dict(df.dtypes)[key]}, ord {dict(df.dtypes)['ord']}, x double, y double, place long")
 
 
 def simplified(lines: DataFrame, key: str, tolerance: float) -> DataFrame:
@@ -116,7 +123,7 @@ def simplified(lines: DataFrame, key: str, tolerance: float) -> DataFrame:
         return pdf[keep]
 
     df = lines.select(key, "ord", "x", "y").dropna()
-    return df.groupBy(key).applyInPandas(one, df.schema)
+    return _groups(df, key).applyInPandas(one, df.schema)
 
 
 def footprint(rooms: DataFrame) -> DataFrame:
@@ -179,4 +186,4 @@ def footprint(rooms: DataFrame) -> DataFrame:
             edges = [[float(v) for v in e] for e in np.concatenate(edges)]
         return pd.DataFrame({"plan_id": [plan], "area": [area], "parts": [parts], "exterior": [edges]})
 
-    return rooms.select("plan_id", "ring").groupBy("plan_id").applyInPandas(one, "plan_id string, area double, parts int, exterior array<array<double>>")
+    return _groups(rooms.select("plan_id", "ring"), "plan_id").applyInPandas(one, "plan_id string, area double, parts int, exterior array<array<double>>")
