@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planweave.functions import geometry as G
+from planweave.functions.shared import by_shuffle
 from planweave.operators import graph, spatial
 
 # Fixed values, in mm: how far the probes of a door stand off its wall, how far a room may be from a probe, and how near the outer ring counts as on it.
@@ -29,7 +30,7 @@ def door_links(doors: DataFrame, walls: DataFrame, rooms: DataFrame) -> DataFram
     """
     o = doors.where("x is not null and y is not null")
     w = walls.groupBy("plan_id", F.col("wall_id").alias("host_wall_id")).agg(F.min_by(F.struct("x1", "y1", "x2", "y2"), "ord").alias("w")).select("plan_id", "host_wall_id", "w.*")
-    o = o.join(w, ["plan_id", "host_wall_id"], "left").withColumn("n", G.length(*(F.col(c) for c in ("x1", "y1", "x2", "y2"))))
+    o = o.join(by_shuffle(w), ["plan_id", "host_wall_id"], "left").withColumn("n", G.length(*(F.col(c) for c in ("x1", "y1", "x2", "y2"))))
     s, n = F.col("s"), F.col("n")
     probes = o.withColumn("s", F.explode(F.array(F.lit(1.0), F.lit(-1.0)))).select(
         "plan_id", "id", "ord", F.when(s > 0, 0).otherwise(1).alias("side"),
@@ -37,7 +38,7 @@ def door_links(doors: DataFrame, walls: DataFrame, rooms: DataFrame) -> DataFram
         F.when(n > 0, F.col("y") + s * PROBE * (F.col("x2") - F.col("x1")) / n).otherwise(F.col("y")).alias("y"),
     )
     met = spatial.two_polygons(probes, rooms, REACH).withColumn("r", F.sort_array(F.array_compact(F.array("a", "b")))).select("plan_id", "id", "ord", "r")
-    return o.select("plan_id", "id", "ord", "width").join(met, ["plan_id", "id", "ord"], "left").select("plan_id", "id", "ord", "width", F.get("r", 0).alias("room_a"), F.get("r", 1).alias("room_b"))
+    return o.select("plan_id", "id", "ord", "width").join(by_shuffle(met), ["plan_id", "id", "ord"], "left").select("plan_id", "id", "ord", "width", F.get("r", 0).alias("room_a"), F.get("r", 1).alias("room_b"))
 
 
 def door_edges(links: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planweave.functions import geometry as G
+from planweave.functions.shared import by_shuffle
 
 
 def _cells(low: Column, high: Column, size: float) -> Column:
@@ -62,7 +63,7 @@ def _in_reach(points: DataFrame, polygons: DataFrame, cutoff: float, cell: float
     placed = at_cell(points.where("x is not null and y is not null"), F.col("x"), F.col("y"), cell)
     b = polygons.where(F.size("ring") >= 3).select("plan_id", "room_id", F.col("ord").alias("room_ord"), G.edges(F.col("ring")).alias("edges"), G.bounds(F.col("ring")).alias("b"))
     b = in_cells(b, F.col("b.x1") - cutoff, F.col("b.y1") - cutoff, F.col("b.x2") + cutoff, F.col("b.y2") + cutoff, cell)
-    return placed.join(b, ["plan_id", "cx", "cy"]).withColumn("d", G.ring_distance(F.col("x"), F.col("y"), F.col("edges"))).where(F.col("d") <= cutoff).select("plan_id", "id", "ord", "d", "room_ord", "room_id")
+    return placed.join(by_shuffle(b), ["plan_id", "cx", "cy"]).withColumn("d", G.ring_distance(F.col("x"), F.col("y"), F.col("edges"))).where(F.col("d") <= cutoff).select("plan_id", "id", "ord", "d", "room_ord", "room_id")
 
 
 def nearest_polygon(points: DataFrame, polygons: DataFrame, cutoff: float, cell: float | None = None) -> DataFrame:

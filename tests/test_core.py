@@ -560,3 +560,25 @@ def test_streams(spark, data, tmp_path):
     q = S.windowed_verdicts(stream).writeStream.format("memory").queryName("verdicts").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select sum(total) from verdicts").first()[0] == src.count()
+
+
+@pytest.mark.parametrize("name", ["room_links"])
+def test_exploded_elements_are_not_broadcast(spark, data, name):
+    # Estimates alone decide here: those of exploded columns are far too low, and the broadcast went through the driver.
+    import __spark_entry__ as entry
+
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "10485760", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    store = spark._jsparkSession.sharedState().statusStore()
+    ran = store.executionsCount()
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        entry.queries()[name](spark, data).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    plans = store.executionsList()
+    assert plans.size() > ran
+    text = "".join(plans.apply(i).physicalPlanDescription() for i in range(ran, plans.size()))
+    assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
