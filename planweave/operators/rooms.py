@@ -80,7 +80,7 @@ def first_pairs(rooms: DataFrame, edges: DataFrame, kinds: list[tuple[str, str]]
     k = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(kinds)], "k int, kind_a string, kind_b string")
     e = edges.select("plan_id", F.explode(F.array(F.struct(F.col("room_a").alias("a"), F.col("room_b").alias("b")), F.struct(F.col("room_b").alias("a"), F.col("room_a").alias("b")))).alias("p")).select("plan_id", "p.*")
     r = lambda s: rooms.select("plan_id", F.col("room_id").alias(s), F.col("category").alias(f"kind_{s}"), F.col("ord").alias(f"ord_{s}"))
-    pairs = e.join(r("a"), ["plan_id", "a"]).join(r("b"), ["plan_id", "b"]).join(F.broadcast(k), ["kind_a", "kind_b"])
+    pairs = e.join(by_shuffle(r("a")), ["plan_id", "a"]).join(by_shuffle(r("b")), ["plan_id", "b"]).join(F.broadcast(k), ["kind_a", "kind_b"])
     first = pairs.groupBy("plan_id", "kind_a", "kind_b").agg(F.count("*").alias("pairs"), F.min(F.struct("ord_a", "ord_b", "a", "b")).alias("f"))
     return first.select("plan_id", "kind_a", "kind_b", "pairs", F.col("f.a").alias("room_a"), F.col("f.b").alias("room_b"))
 
