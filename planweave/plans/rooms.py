@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from planweave.functions import geometry as G
+from planweave.functions.shared import by_shuffle
 from planweave.operators import greedy, rooms, spatial
 from planweave.plans.catalogue import _ROOM_POINTS, _WALL, _opening_sql, _read, registry
 from planweave.sources import elements as E
@@ -200,7 +201,7 @@ def graph_summary(spark, d):
     parts = {"door_edges": rooms.door_edges(links), "exit_rooms": rooms.exits(links), "rooms_with_windows": lit.select("plan_id", "room_id").distinct()}
     out = plans.where("rooms is not null").select("plan_id", F.size("rooms").cast("long").alias("rooms"))
     for name, df in parts.items():
-        out = out.join(df.groupBy("plan_id").agg(F.count("*").alias(name)), "plan_id", "left")
+        out = out.join(by_shuffle(df.groupBy("plan_id").agg(F.count("*").alias(name))), "plan_id", "left")
     return out.select("plan_id", "rooms", *[F.coalesce(c, F.lit(0)).alias(c) for c in parts])
 
 
