@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planweave.functions.shared import stored
+from planweave.functions.shared import by_shuffle, stored
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -50,12 +50,12 @@ def steps_to(nodes: DataFrame, edges: DataFrame, goals: DataFrame) -> DataFrame:
     A breadth-first front: each round joins only the nodes met last.
     """
     e = stored(both_ways(edges), "edges")
-    met = stored(nodes.join(goals.select("g", "node").distinct(), ["g", "node"], "left_semi").select("g", "node", F.lit(0).alias("steps"), F.lit(None).cast(dict(nodes.dtypes)["node"]).alias("via")), "met")
+    met = stored(nodes.join(by_shuffle(goals.select("g", "node").distinct()), ["g", "node"], "left_semi").select("g", "node", F.lit(0).alias("steps"), F.lit(None).cast(dict(nodes.dtypes)["node"]).alias("via")), "met")
     front, k = met, 0
     while True:
         k += 1
-        new = front.select("g", F.col("node").alias("b")).join(e, ["g", "b"]).groupBy("g", F.col("a").alias("node")).agg(F.min("b").alias("via"))
-        new = new.join(nodes.select("g", "node"), ["g", "node"], "left_semi").join(met.select("g", "node"), ["g", "node"], "left_anti")
+        new = front.select("g", F.col("node").alias("b")).join(by_shuffle(e), ["g", "b"]).groupBy("g", F.col("a").alias("node")).agg(F.min("b").alias("via"))
+        new = new.join(by_shuffle(nodes.select("g", "node")), ["g", "node"], "left_semi").join(by_shuffle(met.select("g", "node")), ["g", "node"], "left_anti")
         front = stored(new.select("g", "node", F.lit(k).alias("steps"), "via"), "front")
         if front.isEmpty():
             return met
@@ -75,6 +75,6 @@ def paths_to(nodes: DataFrame, edges: DataFrame, goals: DataFrame) -> DataFrame:
     done = front
     for k in range(1, (most or 0) + 1):
         before = front.select("g", F.col("node").alias("via"), F.col("path").alias("rest"))
-        front = stored(steps.where(F.col("steps") == k).join(before, ["g", "via"]).select("g", "node", "steps", F.concat(F.array("node"), "rest").alias("path")), "paths")
+        front = stored(steps.where(F.col("steps") == k).join(by_shuffle(before), ["g", "via"]).select("g", "node", "steps", F.concat(F.array("node"), "rest").alias("path")), "paths")
         done = done.unionByName(front)
     return done

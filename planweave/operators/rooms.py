@@ -62,7 +62,7 @@ def _graph(rooms: DataFrame, edges: DataFrame, ends: DataFrame):
 def ways_out(rooms: DataFrame, edges: DataFrame, ends: DataFrame) -> DataFrame:
     """(plan_id, room_id, steps, path): fewest doors from each room to an exit and the rooms on the way; rooms without a way have nulls."""
     p = graph.paths_to(*_graph(rooms, edges, ends)).select(F.col("g").alias("plan_id"), F.col("node").alias("room_id"), "steps", "path")
-    return rooms.select("plan_id", "room_id").distinct().join(p, ["plan_id", "room_id"], "left")
+    return rooms.select("plan_id", "room_id").distinct().join(by_shuffle(p), ["plan_id", "room_id"], "left")
 
 
 def neighbours(edges: DataFrame) -> DataFrame:
