@@ -563,7 +563,7 @@ def test_streams(spark, data, tmp_path):
     assert spark.sql("select sum(total) from verdicts").first()[0] == src.count()
 
 
-@pytest.mark.parametrize("name", ["room_links", "adjoining_kinds", "exit_rooms", "graph_summary", "room_neighbours", "egress_paths"])
+@pytest.mark.parametrize("name", ["room_links", "adjoining_kinds", "exit_rooms", "graph_summary", "room_neighbours", "egress_paths", "graph_edges"])
 def test_exploded_elements_are_not_broadcast(spark, data, name):
     # Estimates alone decide here: those of exploded columns are far too low, and the broadcast went through the driver.
     import __spark_entry__ as entry
