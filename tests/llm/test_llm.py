@@ -293,6 +293,24 @@ def test_hits_at_the_floor_at_every_size(total):
     assert met.mean() > 0.885
 
 
+@pytest.mark.parametrize("total", [3_000, 300_000, 1_200_000, 3_000_000, 22_500_000, 112_500_000])
+def test_vector_passes_bound_what_is_shuffled(total):
+    m, tables = knn.sized(total, 0.9)
+    steps = knn.passes(total, tables, knn.PROBES, knn.PASS_BYTES)
+    assert sorted((t, share, shares) for part, share, shares in steps for t in part) == sorted((t, k, s) for t in range(tables) for s in [steps[0][2]] for k in range(s))
+    assert all(knn.sent_bytes(total, len(part) * (knn.PROBES + 1) / shares) <= knn.PASS_BYTES for part, _, shares in steps)
+    # Few enough for each to be worth reading the vectors again.
+    assert len(steps) <= 2 * tables
+
+
+def test_vector_passes_find_the_same(spark, data):
+    df = spark.read.parquet(f"{data}/clause_vectors.parquet")
+    pairs = lambda **o: sorted(tuple(r) for r in knn.nearest(df, "vec_id", "embedding", floor=0.8, **o).collect())
+    whole = pairs()
+    assert len(knn.passes(300, 3, knn.PROBES, 200)) == 3 and {s for _, _, s in knn.passes(300, 3, knn.PROBES, 100)} == {2}
+    assert whole and pairs(most_bytes=200) == whole and pairs(most_bytes=100) == whole
+
+
 def test_nearest_without_floor(spark, data):
     from planweave.llm.queries import queries
 
